@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op2_secrets, op3_warc, op4_sharding, op10_html
+from . import op2_secrets, op3_warc, op4_sharding, op8_bpe, op9_fingerprint, op10_html
 from .common import table
 
 
@@ -24,8 +24,18 @@ def op10_block_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_html.extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return op8_bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op9_canonical_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op9_fingerprint.fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_secret_scan, op3_warc_archive, op4_virtual_slots, op10_block_rules)}
+    return {f.__name__: f for f in (op2_secret_scan, op3_warc_archive, op4_virtual_slots, op8_byte_bpe, op9_canonical_digest, op10_block_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
