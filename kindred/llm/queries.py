@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op2_secrets, op3_warc, op4_sharding, op8_bpe, op9_fingerprint, op10_html
+from . import op1_tiling, op2_secrets, op3_warc, op4_sharding, op8_bpe, op9_fingerprint, op10_html
 from .common import table
 
 
+def op1_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op1_tiling.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op2_secrets.secret_report(table(spark, sf_dir, "documents"))
 
@@ -35,7 +39,7 @@ def op9_canonical_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_secret_scan, op3_warc_archive, op4_virtual_slots, op8_byte_bpe, op9_canonical_digest, op10_block_rules)}
+    return {f.__name__: f for f in (op1_string_tiling, op2_secret_scan, op3_warc_archive, op4_virtual_slots, op8_byte_bpe, op9_canonical_digest, op10_block_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
