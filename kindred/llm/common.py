@@ -1,15 +1,12 @@
-"""Shared helpers: reading tables, scratch tables in the shared folder, Arrow batch plumbing."""
+"""Shared helpers: reading tables, names that don't clash."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-_own_scratch: dict[str, str] = {}
+from kindred.plans.scratch import materialise, new_path, scratch_dir
+
+__all__ = ["fresh", "materialise", "new_path", "scratch_dir", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,34 +14,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a private one only where that is unset."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if base:
-        return base.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own_scratch:
-        _own_scratch[app] = tempfile.mkdtemp(prefix="kindred-")
-        atexit.register(shutil.rmtree, _own_scratch[app], True)
-    return "file://" + _own_scratch[app]
-
-
-def new_path(spark: SparkSession, label: str) -> str:
-    """A path under the scratch folder that nothing else uses."""
-    return f"{scratch_dir(spark)}/kindred/{label}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: lineage ends there.
-
-    Survives lost executors, unlike localCheckpoint, and each later action reuses the result.
-    """
-    spark = df.sparkSession
-    path = new_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def fresh(df: DataFrame, *wanted: str) -> list[str]:
     """Names for helper columns that clash with no column of ``df`` (compared without case)."""
     taken, out = {c.lower() for c in df.columns}, []

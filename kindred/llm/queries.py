@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op1_tiling, op2_secrets, op3_warc, op4_sharding, op8_bpe, op9_fingerprint, op10_html
+from . import op1_tiling, op2_secrets, op3_warc, op4_sharding, op7_jaccard, op8_bpe, op9_fingerprint, op10_html
 from .common import table
 
 
@@ -28,6 +28,10 @@ def op10_block_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_html.extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op7_count_vector_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op7_jaccard.jaccard_components(table(spark, sf_dir, "documents"), k=4, percent=85)
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -39,7 +43,7 @@ def op9_canonical_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_string_tiling, op2_secret_scan, op3_warc_archive, op4_virtual_slots, op8_byte_bpe, op9_canonical_digest, op10_block_rules)}
+    return {f.__name__: f for f in (op1_string_tiling, op2_secret_scan, op3_warc_archive, op4_virtual_slots, op7_count_vector_join, op8_byte_bpe, op9_canonical_digest, op10_block_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
