@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op1_tiling, op2_secrets, op3_warc, op4_sharding, op5_quality, op7_jaccard, op8_bpe, op9_fingerprint, op10_html
+from . import op1_tiling, op2_secrets, op3_warc, op4_sharding, op5_quality, op6_maxent, op7_jaccard, op8_bpe, op9_fingerprint, op10_html
 from .common import table
 
 
@@ -32,6 +32,10 @@ def op5_quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op5_quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_hashed_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op6_maxent.score_corpus(table(spark, sf_dir, "documents"))
+
+
 def op7_count_vector_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op7_jaccard.jaccard_components(table(spark, sf_dir, "documents"), k=4, percent=85)
 
@@ -47,7 +51,7 @@ def op9_canonical_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_string_tiling, op2_secret_scan, op3_warc_archive, op4_virtual_slots, op5_quality_score, op7_count_vector_join, op8_byte_bpe, op9_canonical_digest, op10_block_rules)}
+    return {f.__name__: f for f in (op1_string_tiling, op2_secret_scan, op3_warc_archive, op4_virtual_slots, op5_quality_score, op6_hashed_maxent, op7_count_vector_join, op8_byte_bpe, op9_canonical_digest, op10_block_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
