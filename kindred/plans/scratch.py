@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -29,6 +30,15 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_dir(spark)}/kindred/{label}-{uuid.uuid4().hex}"
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let the driver notice which shuffles nothing refers to any more, so that their files go.
+
+    Executors delete shuffle files only when the driver collects its garbage, which a quiet driver seldom does.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage ends there.
 
@@ -37,4 +47,5 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, label)
     df.write.parquet(path)
+    tidy(spark)
     return spark.read.schema(df.schema).parquet(path)
