@@ -33,11 +33,14 @@ GROUPS = CLASSES * CLASSES
 #: Rows of the hashed weight tables; features of a context besides the bias.
 ROWS, FEATURES = 1 << 14, 3
 #: Tokens in a gradient step, and bytes of text in a chunk.
-STEP, CHUNK = 1 << 15, 8 << 20
+STEP, CHUNK = 1 << 16, 8 << 20
 RATE = 0.5
+#: Largest weight: a context's five weights then sum to less than float32's exponential can take.
+LIMIT = 16.0
 SLICES, FAN_IN = 16, 16
 # Fixed value: stands for the end of a text.
 END = np.uint64(0x5BD1E995A3C59AC3)
+_ONES = np.ones(CLASSES, np.float32)
 _SEEDS = np.array([0x2545F4914F6CDD1D, 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93], np.uint64)
 
 
@@ -66,7 +69,7 @@ def context_rows(tokens: np.ndarray, starts: np.ndarray) -> np.ndarray:
     two[second[second < len(tokens)]] = END
     one[starts[:-1]] = END
     mask = np.uint64(ROWS - 1)
-    return np.stack([mixed(one ^ _SEEDS[0]) & mask, mixed(two * np.uint64(3) + one ^ _SEEDS[1]) & mask, mixed(two ^ _SEEDS[2]) & mask], 1).astype(np.int64)
+    return np.stack([mixed(one ^ _SEEDS[0]) & mask, mixed(two * np.uint64(3) + one ^ _SEEDS[1]) & mask, mixed(two ^ _SEEDS[2]) & mask]).astype(np.int64)
 
 
 class Weights:
@@ -77,41 +80,59 @@ class Weights:
         self.second = np.zeros((ROWS + CLASSES, CLASSES), np.float32) if second is None else second
 
     @staticmethod
-    def cells(rows: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Indices into both tables, the bias row last."""
-        bias = np.full((len(rows), 1), ROWS)
-        inside = (rows * CLASSES + rows // 61 + cls[:, None] * 2654435761) % ROWS
-        return np.hstack([rows, bias]), np.hstack([inside, (ROWS + cls)[:, None]])
-
-    @staticmethod
-    def log_softmax(z: np.ndarray) -> np.ndarray:
-        z = z - z.max(1, keepdims=True)
-        return z - np.log(np.exp(z).sum(1, keepdims=True))
+    def inside(rows: np.ndarray, cls: np.ndarray) -> np.ndarray:
+        """Rows of the second table: the context's row and the class, hashed together."""
+        return (rows * 17 + cls * 40503) & (ROWS - 1)
+
+    def _logits(self, rows: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Class logits, group logits within the class, and the second table's rows; ``rows`` is (features, tokens)."""
+        first, second, within = self.first[ROWS] + self.first[rows[0]], self.second[ROWS + cls], self.inside(rows, cls)
+        second += self.second[within[0]]
+        for f in range(1, FEATURES):
+            first += self.first[rows[f]]
+            second += self.second[within[f]]
+        return first, second, within
 
     def log_probability(self, rows: np.ndarray, groups: np.ndarray) -> np.ndarray:
         """Natural logarithm of P(class | context) P(group | class, context)."""
         cls, sub = groups // CLASSES, groups % CLASSES
-        a, b = self.cells(rows, cls)
-        at = np.arange(len(rows))
-        return self.log_softmax(self.first[a].sum(1))[at, cls] + self.log_softmax(self.second[b].sum(1))[at, sub]
+        first, second, _ = self._logits(rows, cls)
+        at = np.arange(len(groups))
+        out = first[at, cls] + second[at, sub]
+        for z in (first, second):
+            np.exp(z, out=z)  # weights are kept within LIMIT, so nothing overflows
+            out -= np.log(z @ _ONES)
+        return out
 
 
 def _train_on(stream: Iterator[tuple[np.ndarray, np.ndarray]]) -> tuple[Weights, int]:
-    """AdaGrad over steps of many tokens; gradients are summed by cell."""
+    """AdaGrad over steps of many tokens; a step's gradients are summed by table row, a class at a time."""
     w = Weights()
     memory = [np.full_like(w.first, 1e-4), np.full_like(w.second, 1e-4)]
     seen = 0
     for rows, groups in stream:
+        n = len(groups)
         cls, sub = groups // CLASSES, groups % CLASSES
-        at = np.arange(len(rows))
-        for table, past, cells, target in zip((w.first, w.second), memory, w.cells(rows, cls), (cls, sub), strict=True):
-            error = np.exp(w.log_softmax(table[cells].sum(1)))
-            error[at, target] -= 1
-            order = (cells[:, :, None] * CLASSES + np.arange(CLASSES)).ravel()
-            grad = np.bincount(order, np.repeat(error[:, None, :], FEATURES + 1, 1).ravel(), table.size).reshape(table.shape).astype(np.float32) / len(rows)
+        first, second, within = w._logits(rows, cls)
+        at = np.arange(n)
+        for table, past, z, cells, target in ((w.first, memory[0], first, rows, cls), (w.second, memory[1], second, within, sub)):
+            np.exp(z, out=z)
+            z /= (z @ _ONES)[:, None]
+            z[at, target] -= 1
+            grad = np.zeros_like(table)
+            flat, columns = cells.ravel(), np.ascontiguousarray(z.T, np.float64)
+            for c in range(CLASSES):
+                grad[:ROWS, c] = np.bincount(flat, np.tile(columns[c], FEATURES), ROWS)
+            if table is w.first:
+                grad[ROWS] = z.sum(0)
+            else:
+                for c in range(CLASSES):
+                    grad[ROWS:, c] = np.bincount(cls, columns[c], CLASSES)
+            grad /= n
             past += grad * grad
             table -= RATE * grad / np.sqrt(past)
-        seen += len(rows)
+            np.clip(table, -LIMIT, LIMIT, out=table)
+        seen += n
     return w, seen
 
 
@@ -124,13 +145,13 @@ def _steps(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.n
             tokens, starts = token_stream(batch.column(0).slice(start, 128).to_pylist())
             rows, groups = context_rows(tokens, starts), group_of(tokens)
             for at in range(0, len(tokens), STEP):
-                held.append((rows[at : at + STEP], groups[at : at + STEP]))
-                size += len(held[-1][0])
+                held.append((rows[:, at : at + STEP], groups[at : at + STEP]))
+                size += len(held[-1][1])
                 if size >= STEP:
-                    yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+                    yield tuple(np.concatenate(x, -1) for x in zip(*held, strict=True))
                     held, size = [], 0
     if held:
-        yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+        yield tuple(np.concatenate(x, -1) for x in zip(*held, strict=True))
 
 
 def _sliced(w: Weights, weight: float) -> Iterator[tuple[int, float, bytes]]:
@@ -214,7 +235,7 @@ def _chunks(docs: DataFrame, weights: Weights) -> DataFrame:
                 part = batch.slice(start, 64)
                 tokens, starts = token_stream(part.column(2).to_pylist())
                 rows, groups = context_rows(tokens, starts), group_of(tokens)
-                context = np.concatenate([shared.value.log_probability(rows[i : i + STEP], groups[i : i + STEP]) for i in range(0, len(tokens), STEP)]).astype(np.float64)
+                context = np.concatenate([shared.value.log_probability(rows[:, i : i + STEP], groups[i : i + STEP]) for i in range(0, len(tokens), STEP)]).astype(np.float64)
                 chunk.add(part.column(0).to_pylist(), part.column(1).to_pylist(), tokens, starts, context)
                 if chunk.bytes >= CHUNK:
                     yield chunk.record(number)
