@@ -137,7 +137,7 @@ def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
 
     Only documents that have spans to replace get a new text; n_chars follows the text where it exists.
     """
-    (cut, key, got) = fresh(docs, "cut", "row_key", "doc_id_")
+    cut, key, got = fresh(docs, "cut", "new_text", "doc_id_")
     judged = scan(docs)
     spans = F.array_sort(F.filter(F.concat("base", "added"), lambda s: ~F.array_contains("example", s["hash"])))
     places = judged.select(F.col("doc_id").alias(got), "row_key", spans.alias(cut)).filter(F.size(cut) > 0).groupBy(got, "row_key").agg(F.first(cut).alias(cut))
@@ -151,9 +151,12 @@ def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
 
     rebuilt = F.aggregate(F.col(cut), start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
     joined = docs.join(places, docs["doc_id"].eqNullSafe(places[got]), "left")
-    new = F.when(F.col(cut).isNotNull() & text.isNotNull(), rebuilt).otherwise(text)
-    out = [new.alias(c) if c == "text" else F.when(F.col(cut).isNotNull(), F.length(new).cast("long")).otherwise(docs[c]).alias(c) if c == "n_chars" else docs[c] for c in docs.columns]
-    return joined.select(*out)
+    changed = F.col(cut).isNotNull() & text.isNotNull()
+    joined = joined.withColumn(key, F.when(changed, rebuilt))
+    out = {"text": F.coalesce(F.col(key), docs["text"]).alias("text")}
+    if "n_chars" in docs.columns:
+        out["n_chars"] = F.coalesce(F.length(key).cast("long"), docs["n_chars"]).alias("n_chars")
+    return joined.select(*[out.get(c, docs[c]) for c in docs.columns])
 
 
 def oracle() -> str:
