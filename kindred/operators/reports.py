@@ -182,10 +182,19 @@ def principal_components(df: DataFrame, vector: str, dims: int, k: int = 2, node
     """
     import numpy as np
 
-    at = [F.get(F.col(vector), F.lit(i)).cast("double") for i in range(dims)]
     cells = [(i, j) for i in range(dims) for j in range(i, dims)]
-    flat = F.array(*at, *[at[i] * at[j] for i, j in cells])
-    sums = df.select(F.posexplode(flat).alias("p", "v")).groupBy("p").agg(F.sum("v").alias("s")).orderBy("p").collect()  # dims * (dims + 3) / 2 rows
+
+    def partial(batches):
+        import pyarrow as pa
+
+        total = np.zeros(dims + len(cells))
+        upper = np.triu_indices(dims)
+        for batch in batches:
+            x = np.array(batch.column(0).to_pylist(), np.float64).reshape(-1, dims)
+            total += np.concatenate([x.sum(0), (x.T @ x)[upper]])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total)), pa.int32()), pa.array(total)], names=["p", "v"])
+
+    sums = df.select(vector).mapInArrow(partial, "p int, v double").groupBy("p").agg(F.sum("v").alias("s")).orderBy("p").collect()  # dims * (dims + 3) / 2 rows
     n = df.count()
     mean = np.array([r["s"] for r in sums[:dims]]) / max(n, 1)
     cov = np.zeros((dims, dims))

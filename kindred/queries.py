@@ -126,7 +126,7 @@ def hash_similarity(spark, d):
 
 
 @query("""with x as (select doc_id, sha256(coalesce(text, '')) h from documents), y as (select doc_id a, doc_id + 1 b from documents where doc_id % 2 = 0)
-  select y.a, y.b, list_sum(list_transform(range(0, 64), lambda i: bit_count(('0x' || p.h[i + 1])::int ^ ('0x' || q.h[i + 1])::int)))::bigint distance
+  select y.a, y.b, list_sum(list_transform(range(0, 64), lambda i: bit_count(xor(('0x' || p.h[i + 1])::int, ('0x' || q.h[i + 1])::int))))::bigint distance
   from y join x p on p.doc_id = y.a join x q on q.doc_id = y.b""")
 def hamming_hex256(spark, d):
     """256-bit hashes in hex, of each document and its neighbour."""
@@ -200,12 +200,12 @@ def calibrated_fusion(spark, d):
 
 @query(CALIBRATED + """, v as (select *, cal >= 0.75 vc, distance / 64.0 <= 0.25 vf, distance <= 6 vp, cos >= 0.985 vt, hu >= 0.75 vh from c),
   x as (select *, (vc::int + vf::int + vp::int + vt::int + vh::int) / 6.0 conf from v)
-  select id_a, id_b, round(conf, 6) confidence, case when cal >= 0.85 then true when conf >= 0.5 and vc then true when vf and (vp or vt) then true else vp or vt or vh end similar from x""")
+  select id_a, id_b, round(conf, 6) confidence, case when cal >= 0.85 then true when conf >= 0.5 and vc then true when vf and (vp or vt) then true else vp or vt or vh end is_similar from x""")
 def decision_tree(spark, d):
     """P6 with the channels at hand."""
     m = _calibrated(measured(spark, d))
     votes = fusion.channel_votes({"fused": F.col("distance") / 64, "phash": F.col("distance"), "fft": F.col("cos"), "hu": F.col("hu"), "calibrated": F.col("cal")})
-    return m.select("id_a", "id_b", F.round(fusion.confidence(votes), 6).alias("confidence"), fusion.decision_tree(votes, F.col("cal")).alias("similar"))
+    return m.select("id_a", "id_b", F.round(fusion.confidence(votes), 6).alias("confidence"), fusion.decision_tree(votes, F.col("cal")).alias("is_similar"))
 
 
 @query(MEASURED + """ select id_a, id_b, round(0.4 * (64 - distance) / 64.0 + 0.3 * cos + 0.3 * l1, 6) legacy,
@@ -455,7 +455,7 @@ def cache_lookup(spark, d):
     return both.select(F.col("domain").cast("long").alias("domain"), "cache_key", "hit")
 
 
-@query("select event_id, epoch(timestamp '2024-01-15 00:00:00')::bigint - epoch(ts)::bigint age from events where epoch(timestamp '2024-01-15 00:00:00')::bigint - epoch(date_trunc('second', ts))::bigint < 86400")
+@query("select event_id, epoch(timestamp '2024-01-15 00:00:00')::bigint - epoch(date_trunc('second', ts))::bigint age from events where epoch(timestamp '2024-01-15 00:00:00')::bigint - epoch(date_trunc('second', ts))::bigint < 86400")
 def ttl_cache(spark, d):
     """Entries younger than a day at a given time."""
     now = F.lit("2024-01-15 00:00:00").cast("timestamp")
