@@ -1,10 +1,9 @@
 """The reference's entry points as declarative pipelines."""
 
-from __future__ import annotations
-
 from collections.abc import Callable
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,9 +21,7 @@ def image_features(images: DataFrame) -> DataFrame:
     return flat.withColumn("brand_family", brand.brand_family(F.col("domain"))).withColumn("industry", brand.industry(F.col("domain")))
 
 
-@F.pandas_udf("struct<good:int,ratio:double>")
-def _orb_match(a, b):
-    import pandas as pd
+def _orb_match(a: pd.Series, b: pd.Series) -> pd.DataFrame:
 
     as_array = lambda x: np.frombuffer(b"".join(x), np.uint8).reshape(-1, 32) if x is not None and len(x) else np.zeros((0, 32), np.uint8)
     return pd.DataFrame([image.match_orb(as_array(x), as_array(y)) for x, y in zip(a, b, strict=True)], columns=["good", "ratio"])
@@ -33,7 +30,7 @@ def _orb_match(a, b):
 def score_pairs(pairs: DataFrame, features: DataFrame, c: Config) -> DataFrame:
     """Stage 5: the four channels, signals and weighted similarity of candidate pairs."""
     wide = blocking.with_features(pairs, features, "id", "phash_words", "color_histogram", "orb_descriptors", "dct_hash", "brand_family", "industry")
-    orb = _orb_match("orb_descriptors_a", "orb_descriptors_b")
+    orb = F.pandas_udf(_orb_match, "struct<good:int,ratio:double>")("orb_descriptors_a", "orb_descriptors_b")
     wide = wide.withColumn("distance", vectors.hamming_words(F.col("phash_words_a"), F.col("phash_words_b"))).withColumn("color", vectors.l1_similarity(F.col("color_histogram_a"), F.col("color_histogram_b")))
     wide = wide.withColumn("orb", orb).withColumn("dct", 1 - vectors.hamming_bits(F.col("dct_hash_a"), F.col("dct_hash_b")) / 64.0)
     same = (F.col("brand_family_a") == F.col("brand_family_b")) & (F.col("brand_family_a") != "unknown")
@@ -80,16 +77,12 @@ def run_clustering(spark: SparkSession, folder: str, c: Config | None = None) ->
     return cluster_images(readers.scan_images(spark, folder), c)
 
 
-@F.pandas_udf("double")
-def _lagged(a, b):
-    import pandas as pd
+def _lagged(a: pd.Series, b: pd.Series) -> pd.Series:
 
     return pd.Series([image.correlation_max(np.asarray(x), np.asarray(y)) for x, y in zip(a, b, strict=True)])
 
 
-@F.pandas_udf("struct<sift:double,orb:double>")
-def _keypoints(sa, sb, oa, ob):
-    import pandas as pd
+def _keypoints(sa: pd.Series, sb: pd.Series, oa: pd.Series, ob: pd.Series) -> pd.DataFrame:
 
     floats = lambda x: np.array([np.asarray(r) for r in x]).reshape(-1, 128)
     octets = lambda x: np.frombuffer(b"".join(x), np.uint8).reshape(-1, 32) if len(x) else np.zeros((0, 32), np.uint8)
@@ -103,7 +96,8 @@ def research_measures(pairs: DataFrame, features: DataFrame) -> DataFrame:
     end = lambda n: (F.col(f"{n}_a"), F.col(f"{n}_b"))
     cos = lambda n: F.coalesce(vectors.cosine(*end(n)), F.lit(0.0))
     w = w.withColumn("fused_distance", vectors.hamming_vector(*end("deep_fused_hash"))).withColumn("phash_distance", vectors.hamming_bits(*end("phash")))
-    w = w.withColumn("fmt", _lagged("fmt_signature_a", "fmt_signature_b")).withColumn("points", _keypoints("sift_descriptors_a", "sift_descriptors_b", "orb_descriptors_a", "orb_descriptors_b"))
+    points = F.pandas_udf(_keypoints, "struct<sift:double,orb:double>")
+    w = w.withColumn("fmt", F.pandas_udf(_lagged, "double")("fmt_signature_a", "fmt_signature_b")).withColumn("points", points("sift_descriptors_a", "sift_descriptors_b", "orb_descriptors_a", "orb_descriptors_b"))
     w = w.withColumns({"fft": cos("fft_features"), "color_fmt": cos("color_aware_fmt"), "saliency": cos("saliency_weighted_fft"), "hu": cos("hu_moments"), "zernike": cos("zernike_moments"), "color_distance": vectors.euclidean(*end("color_vector"))})
     w = w.withColumns({"sift": F.greatest(F.col("points.sift"), cos("sift_signature")), "orb": F.greatest(F.col("points.orb"), cos("orb_signature"))})
     calibrated = fusion.calibrated_fusion(1 - F.col("fused_distance") / 64, 1 - F.col("phash_distance") / 64, F.greatest(F.lit(0.0), "fft"), F.greatest(F.lit(0.0), "hu"), F.col("color_distance"))

@@ -34,7 +34,7 @@ def fetch_tiered(requests: DataFrame, fetcher: Fetcher = http_fetch, least_bytes
 
     Requests of a domain come together in one list, so a task needs one domain at a time.
     """
-    lists = requests.groupBy("domain").agg(F.array_sort(F.collect_list(F.struct("tier", "pos", "source", "url", "timeout", "headers"))).alias("plan"))
+    lists = requests.groupBy("domain").agg(F.array_sort(F.collect_list(F.struct("tier", "pos", "source", "url", "timeout", F.map_entries("headers").alias("headers")))).alias("plan"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -55,7 +55,7 @@ def _one(domain: str, plan, fetcher: Fetcher, least_bytes: int) -> tuple:
         if won:
             continue
         try:
-            status, kind, data = fetcher(step["url"], int(step["timeout"]), dict(step["headers"] or {}))
+            status, kind, data = fetcher(step["url"], int(step["timeout"]), {h["key"]: h["value"] for h in step["headers"]} if step["headers"] is not None else {})
             if acceptable(status, kind, data, least_bytes):
                 won = (step["source"], kind, data)
         except Exception as e:  # noqa: BLE001  a source that fails is one that has no image
