@@ -22,7 +22,7 @@ def bucket_pairs(df: DataFrame, bucket: str, node: str = "id") -> DataFrame:
 def segments(word, bits: int, parts: int):
     """A word of ``bits`` bits cut into parts: (number, value) of each."""
     cuts = [bits * i // parts for i in range(parts + 1)]
-    return F.array(*[F.struct(F.lit(i).alias("seg"), F.shiftrightunsigned(word, lo).bitwiseAND((1 << (hi - lo)) - 1).alias("val")) for i, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:], strict=True))])
+    return F.array(*[F.struct(F.lit(i).alias("seg"), F.shiftrightunsigned(word, lo).bitwiseAND((1 << (hi - lo)) - 1 if hi - lo < 63 else -1).alias("val")) for i, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:], strict=True))])
 
 
 def hamming_pairs(df: DataFrame, word: str, distance: int, bits: int = 64, node: str = "id") -> DataFrame:
