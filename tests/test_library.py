@@ -404,3 +404,34 @@ def test_entry_contract(spark):
     queries, oracles = entry.queries(), entry.oracle_sql()
     assert set(oracles) <= set(queries) and len(queries) > 60
     assert entry.entry(spark).count() > 0
+
+
+def test_registered_functions(spark):
+    from kindred.functions.register import register
+
+    names = register(spark)
+    spark.createDataFrame([(1, bytearray(image.encode_png(picture(1)))), (2, bytearray(b"x"))], "id int, content binary").createOrReplaceTempView("imgs")
+    rows = {r["id"]: r for r in spark.sql("select id, image_phash(content) h, size(image_hsv_histogram(content)) n from imgs").collect()}
+    assert rows[1]["h"] == image.phash(picture(1)) and rows[1]["n"] == 30 and rows[2]["h"] is None and len(names) > 10
+    assert [r["href"] for r in spark.sql("select * from html_links('<a href=\"/x\">1</a><a class=q href=\"/y\">2</a>')").collect()] == ["/x", "/y"]
+
+
+def test_command_line(spark, tmp_path):
+    from kindred.__main__ import main
+
+    (tmp_path / "in").mkdir()
+    for i in range(3):
+        (tmp_path / "in" / f"d{i}.png").write_bytes(image.encode_png(picture(i % 2)))
+    main([str(tmp_path / "in"), f"file://{tmp_path}/out", "--preset", "moderate", "--shards", "2"])
+    assert spark.read.parquet(f"{tmp_path}/out/membership").count() == 3 and spark.read.text(f"{tmp_path}/out/report").count() > 10
+
+
+def test_event_windows(spark, sf, tmp_path):
+    from kindred.streaming.incremental import attempts_by_window
+
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    events.withColumn("ts", F.col("ts").cast("timestamp")).write.parquet(f"{tmp_path}/e")
+    stream = spark.readStream.schema(spark.read.parquet(f"{tmp_path}/e").schema).parquet(f"{tmp_path}/e")
+    q = attempts_by_window(stream, late="1000 days").writeStream.format("memory").queryName("windows").outputMode("complete").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert spark.table("windows").agg(F.sum("n")).first()[0] == events.count()
