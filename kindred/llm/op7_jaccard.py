@@ -5,12 +5,15 @@ into groups and counting them makes each class a point; two sets share no more t
 coordinates of their points, so an R-tree over the points (with the sets' sizes) turns away pairs, node by
 node, that can't reach the threshold.  What survives is verified on the whole texts.
 
-How it is dealt out: sets that are similar enough share one of their first shingles in any common order (the
-first n - ceil(t n) + 1), so classes meet by such keys.  The order puts shingles that are frequent in a
-bounded sample last; it decides only how much work there is, never which links are found.  First every class
-of a bucket is compared with the bucket's smallest class, and components are formed; a group of near copies
-becomes one component with a number of comparisons in proportion to its size.  Then only pairs of different
-components are looked for, by R-trees over blocks of a bucket, so no task needs a whole hot bucket.
+How it is dealt out: the sizes fall in classes so that similar sets stand in one class or in neighbouring ones.
+A class bounds how many shingles two similar sets don't share; hashed into more groups than that, they have a
+group with the very same shingles.  So sets meet by the contents of their groups, which unrelated sets seldom
+share, however frequent a passage is: other shingles stand in the same groups.  A bucket's classes
+are bounded against its smallest one; those that it can't be near to look their best partner up in R-trees over
+blocks of the bucket, so no task needs a whole hot bucket.  These pairs, in proportion to the bucket, are
+verified and components are formed.  Best partners in other components are looked up and verified again while
+that ties components together; then whatever pairs of different components the bound leaves are verified, all
+of them.  A group of near copies so becomes one component without a comparison of each two of its members.
 
 Edge cases: null and empty texts have an empty set and link with nothing; short texts are one shingle;
 repeated rows fall in one class; ties take the smallest id; an empty table gives an empty result.
@@ -18,7 +21,8 @@ repeated rows fall in one class; ties take the smallest id; an empty table gives
 
 from __future__ import annotations
 
-import math
+from bisect import bisect_left
+from collections import defaultdict
 from collections.abc import Iterator
 from itertools import groupby
 
@@ -31,67 +35,61 @@ from pyspark.sql import functions as F
 from kindred.operators.graph import connected_components
 
 from .common import materialise
-from .tokens import shingle_set
-
-#: Groups that shingles are hashed into: coordinates of a point.
-GROUPS = 64
-#: Documents in the sample that the key order is fitted on, and frequent shingles that it holds at most.
-SAMPLE_DOCS, SAMPLE_KEYS = 4096, 1 << 16
-#: Classes in a block of a bucket.
-BLOCK = 2048
+from .tokens import mixed, shingle_set
+
+#: Fewest and most groups that a set's shingles are hashed into: coordinates of its point.
+FEWEST, MOST = 32, 512
+#: Rounds of best partners at most, before all that is left is verified.
+ROUNDS = 4
+#: Classes in a block of a bucket; buckets of up to FEW classes are searched for all pairs at once.
+BLOCK, FEW = 2048, 64
 NODE = 16
 
 
-def _frequent(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that occur in three or more documents of the sample: sorted hashes and their frequencies."""
-    total = docs.count()
-    share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.lit(math.ceil((1 << 20) * min(1.0, SAMPLE_DOCS / max(1, total))))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(text, k).view(np.int64))], names=["h"])
-
-    rows = docs.filter(share).select("text").mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).filter("n > 2")
-    found = rows.orderBy(F.desc("n"), "h").limit(SAMPLE_KEYS).toPandas()
-    h, n = found["h"].to_numpy(np.int64).view(np.uint64), found["n"].to_numpy(np.int64)
-    order = np.argsort(h)
-    return h[order], n[order]
-
-
-class KeyOrder:
-    """Rare shingles first, by hash; then those frequent in the sample, by frequency and hash."""
-
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray):
-        self.hashes, self.counts = hashes, counts
-        self.bitmap = np.zeros(1 << 20, bool)
-        self.bitmap[(hashes & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
-
-    def first(self, shingles: np.ndarray, n: int) -> np.ndarray:
-        maybe = np.flatnonzero(self.bitmap[(shingles & np.uint64((1 << 20) - 1)).astype(np.int64)])
-        if not len(maybe):
-            return shingles[:n]
-        at = np.searchsorted(self.hashes, shingles[maybe])
-        ok = self.hashes[np.minimum(at, len(self.hashes) - 1)] == shingles[maybe]
-        common, at = maybe[ok], at[ok]
-        rare = np.delete(shingles, common)[:n]
-        if len(rare) == n:
-            return rare
-        ranked = common[np.lexsort((shingles[common], self.counts[at]))]
-        return np.concatenate([rare, shingles[ranked[: n - len(rare)]]])
+class Schemes:
+    """Size classes and, for pairs whose smaller set is in a class, the number of groups and the spare ones.
 
+    Sizes of class i + 1 reach as far as any set that is similar to one of class i.  Two similar sets of at
+    most d unequal shingles agree in 1 + spare of d + 1 + spare groups, so a set with no more than ``spare``
+    empty groups needn't be met by these.
+    """
 
-def prefix_length(n: int, percent: int) -> int:
-    """Sets of n that are similar enough to another share one of so many first elements."""
-    return n + (-percent * n // 100) + 1
+    def __init__(self, percent: int):
+        self.percent, self.tops, self.groups, self.spare = percent, [0], [0], [0]
+
+    def of(self, n: int) -> int:
+        """The class of a size; classes start at 1."""
+        while self.tops[-1] < n:
+            top = (self.tops[-1] + 1) * 100 // self.percent
+            unequal = (100 - self.percent) * (top + top * 100 // self.percent) // (100 + self.percent)
+            spare = 0 if top < 12 else 1 if top < 24 else 2 if top < 48 else 3
+            self.tops.append(top)
+            self.groups.append(unequal + 1 + spare if unequal else 0)
+            self.spare.append(spare)
+        return bisect_left(self.tops, n)
+
+    def keys(self, shingles: np.ndarray) -> np.ndarray:
+        """Contents of the groups of a sorted set, in the scheme of its class and in that of the class below."""
+        own = self.of(len(shingles))
+        return np.concatenate([self._contents(shingles, i) for i in (own, own - 1) if self.groups[i]] or [np.empty(0, np.uint64)])
+
+    def _contents(self, shingles: np.ndarray, i: int) -> np.ndarray:
+        m = self.groups[i]
+        group = ((shingles >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)  # rises with the hash
+        starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+        name = mixed(group[starts] + np.uint64(i << 32))
+        found = mixed(np.add.reduceat(mixed(shingles), starts) ^ name)
+        if m - len(starts) > self.spare[i]:
+            empty = np.setdiff1d(np.arange(m, dtype=np.uint64), group[starts], assume_unique=True)
+            found = np.concatenate([found, mixed(mixed(empty + np.uint64(i << 32)))])
+        return found
 
 
 def _features(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """doc_id, set size, 128-bit digest of the set; keys and point for the first of its digest in a task."""
-    order = docs.sparkSession.sparkContext.broadcast(KeyOrder(*_frequent(docs, k)))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
+        schemes = Schemes(percent)
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
@@ -107,9 +105,8 @@ def _features(docs: DataFrame, k: int, percent: int) -> DataFrame:
                         continue
                     if len(seen) < 1_000_000:
                         seen.add(d)
-                    keys.append(order.value.first(s, prefix_length(len(s), percent)).view(np.int64))
-                    counts = np.bincount((s >> np.uint64(40)).astype(np.int64) % GROUPS, minlength=GROUPS)
-                    points.append(np.minimum(counts, 65535).astype("<u2").tobytes())
+                    keys.append(schemes.keys(s).view(np.int64))
+                    points.append(point_of(s))
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(points, pa.binary())],
                     names=["doc_id", "n", "digest", "keys", "point"],
@@ -118,53 +115,97 @@ def _features(docs: DataFrame, k: int, percent: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, digest binary, keys array<long>, point binary")
 
 
+def groups_for(n: int) -> int:
+    """One or two groups a shingle, so that few different shingles fall together; long texts have fewer.
+
+    Their counts are large, so they still tell unrelated sets apart, and a point stays small.
+    """
+    return min(MOST, max(FEWEST, 1 << (n - 1).bit_length()))
+
+
+def point_of(shingles: np.ndarray) -> bytes:
+    """Counts by group, clipped at 255 (the search makes up for what is clipped off)."""
+    g = groups_for(len(shingles))
+    return np.minimum(np.bincount((shingles >> np.uint64(40)).astype(np.int64) % g, minlength=g), 255).astype(np.uint8).tobytes()
+
+
+def folded(point: bytes, groups: int) -> np.ndarray:
+    """The point in fewer groups (a power of two each): groups that fall together are summed."""
+    return np.frombuffer(point, np.uint8).reshape(-1, groups).sum(0, dtype=np.uint16)
+
+
+def may_link(n: int, point: bytes, m: int, other: bytes, percent: int) -> bool:
+    """Whether the bound on the overlap of two sets lets them reach the threshold."""
+    g = min(len(point), len(other))
+    x, y = folded(point, g), folded(other, g)
+    bound = int(np.minimum(x, y).sum(dtype=np.int64)) + min(n - int(x.sum(dtype=np.int64)), m - int(y.sum(dtype=np.int64)))
+    return 100 * n >= percent * m and 100 * m >= percent * n and (100 + percent) * bound >= percent * (n + m)
+
+
 class RTree:
     """Points in packed nodes: each node has the largest coordinates and the range of sizes below it."""
 
     def __init__(self, points: np.ndarray, sizes: np.ndarray):
-        self.order = np.lexsort((*points.T[:4].astype(np.int64) // 4, points.argmax(1), np.log(np.maximum(sizes, 1)) // 0.2))
-        level = (points[self.order].astype(np.int64), sizes[self.order], sizes[self.order], (sizes - points.sum(1))[self.order])
+        self.order = np.lexsort((points.argmax(1), np.log(np.maximum(sizes, 1)) // 0.1))
+        level = (points[self.order], sizes[self.order], sizes[self.order], (sizes - points.sum(1, dtype=np.int64))[self.order])
         self.levels = [level]
         while len(level[0]) > NODE:
             cuts = np.arange(0, len(level[0]), NODE)
             level = tuple(f.reduceat(x, cuts, axis=0) for f, x in zip((np.maximum, np.minimum, np.maximum, np.maximum), level, strict=True))
             self.levels.append(level)
 
-    def search(self, point: np.ndarray, size: int, percent: int) -> np.ndarray:
-        """Places (in the given order) of points whose sets may be similar enough to this one.
+    def search(self, point: np.ndarray, size: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places (in the given order) of points whose sets may be similar enough to this one, and their bounds.
 
         Over (clipped) coordinates: overlap <= sum of minima + the smaller of what was clipped off.
         """
-        clipped = size - int(point.sum())
-        at = np.arange(len(self.levels[-1][0]))
+        clipped = size - int(point.sum(dtype=np.int64))
+        at, bound = np.arange(len(self.levels[-1][0])), np.empty(0)
         for depth in range(len(self.levels) - 1, -1, -1):
             high, least, most, excess = (x[at] for x in self.levels[depth])
-            bound = np.minimum(high, point).sum(1) + np.minimum(excess, clipped)
-            ok = (100 * least <= 100 * 100 * size // percent) & (100 * most >= percent * size) & ((100 + percent) * bound >= percent * (size + least))
-            at = at[ok]
+            bound = np.minimum(high, point).sum(1, dtype=np.int64) + np.minimum(excess, clipped)
+            ok = (percent * least <= 100 * size) & (100 * most >= percent * size) & ((100 + percent) * bound >= percent * (size + least))
+            at, bound = at[ok], bound[ok] / (size + least[ok])
             if depth:
                 n = len(self.levels[depth - 1][0])
                 at = (at[:, None] * NODE + np.arange(NODE)).ravel()
                 at = at[at < n]
-        return self.order[at]
+        return self.order[at], bound
+
 
+def _candidates(percent: int, best: bool, few: int):
+    """Pairs of different components from sorted (key, block a, block b) runs.
 
-def _candidates(percent: int):
-    """Pairs of different components from sorted (key, block a, block b) runs; each pair once a task."""
+    All of them or, with ``best`` and in buckets of more than ``few`` classes, each row's best one.
+    """
+
+    def found(rows: list[dict], others: list[dict], same: bool, top: bool) -> Iterator[tuple[int, int]]:
+        by_width: tuple[dict, dict] = (defaultdict(list), defaultdict(list))
+        for side, part in zip(by_width, (rows, others), strict=True):
+            for r in part:
+                side[len(r["point"])].append(r)
+        for wide, right in by_width[1].items():
+            reps, labels = np.array([r["rep"] for r in right]), np.array([r["label"] for r in right])
+            for other_wide, left in by_width[0].items():
+                if not wide // 2 <= other_wide <= wide * 2:  # sizes so far apart don't link
+                    continue
+                g = min(wide, other_wide)
+                tree = RTree(np.stack([folded(r["point"], g) for r in right]), np.array([r["n"] for r in right], np.int64))
+                for r in left:
+                    at, bound = tree.search(folded(r["point"], g), r["n"], percent)
+                    ok = (labels[at] != r["label"]) & ((reps[at] > r["rep"]) | (not same or top))
+                    at, bound = at[ok], bound[ok]
+                    for m in at[[np.lexsort((reps[at], -bound))[0]]] if top and len(at) else at:
+                        yield min(r["rep"], int(reps[m])), max(r["rep"], int(reps[m]))
 
     def pairs(rows: list[dict]) -> Iterator[tuple[int, int]]:
         first, second = rows[0]["i"], rows[0]["j"]
-        left = [r for r in rows if r["own"] == first]
-        right = left if first == second else [r for r in rows if r["own"] == second]
-        if not left or not right:
-            return
-        points = np.frombuffer(b"".join(r["point"] for r in right), "<u2").reshape(len(right), GROUPS).astype(np.int64)
-        tree = RTree(points, np.array([r["n"] for r in right], np.int64))
-        for r in left:
-            for m in tree.search(np.frombuffer(r["point"], "<u2").astype(np.int64), r["n"], percent):
-                other = right[m]
-                if other["label"] != r["label"] and (first != second or other["rep"] > r["rep"]):
-                    yield min(r["rep"], other["rep"]), max(r["rep"], other["rep"])
+        left, right = ([r for r in rows if r["own"] == own] for own in (first, second))
+        top = best and rows[0]["all"] > few
+        if left and right:
+            yield from found(left, right, first == second, top)
+            if top and first != second:
+                yield from found(right, left, False, top)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
@@ -184,6 +225,36 @@ def _candidates(percent: int):
     return run
 
 
+def _bounded(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that the bound leaves."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 2048):
+                rows = zip(*(c.to_pylist() for c in batch.slice(start, 2048).columns), strict=True)
+                ok = [(a, b) for a, b, n, p, m, q in rows if may_link(n, p, m, q, percent)]
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in ok], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+    mine = points.select(F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("point").alias("p_a"))
+    other = points.select(F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("point").alias("p_b"))
+    return pairs.join(mine, "a").join(other, "b").select("a", "b", "n_a", "p_a", "n_b", "p_b").mapInArrow(run, "a long, b long")
+
+
+def _look_up(named: DataFrame, points: DataFrame, percent: int, best: bool) -> DataFrame:
+    """Pairs of different labels that meet in a bucket and pass the bound (each row's best one, or all)."""
+    blocks = _blocks(named).join(points, "rep").select("key", "i", "j", "own", "all", "rep", "label", "n", "point")
+    dealt = blocks.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return dealt.mapInArrow(_candidates(percent, best, FEW), "a long, b long").distinct()
+
+
+def _texts_of(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The texts of the documents in ``pairs``: the one time that whole texts move."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    mine = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    found = mine.join(wanted.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])  # the ids grow with the data
+    return materialise(found, "candidate-texts")
+
+
 def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     """Exact test: 100 |x & y| >= percent |x | y|."""
     both = len(np.intersect1d(x, y, assume_unique=True))
@@ -232,7 +303,7 @@ def _blocks(bucket: DataFrame) -> DataFrame:
     own = F.when(is_top, n_rest + F.pmod(F.xxhash64("rep"), n_top)).otherwise(F.pmod(F.xxhash64("rep"), n_rest)).cast("int")
     met: Column = F.when(is_top, F.sequence(F.lit(0), F.col("n_rest") - 1)).otherwise(F.sequence(F.lit(0), F.col("n_rest") + F.col("n_top") - 1))
     numbered = counted.withColumn("n_top", n_top).withColumn("n_rest", n_rest).withColumn("own", own)
-    return numbered.withColumn("with", F.explode(met)).select("key", "rep", "label", "own", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"))
+    return numbered.withColumn("with", F.explode(met)).select("key", "rep", "label", "own", "all", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"))
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -243,20 +314,31 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     )
     emitted = features.filter("keys is not null").join(classes.select("digest", F.col("rep").alias("doc_id")), ["digest", "doc_id"])
     keyed = emitted.select(F.explode("keys").alias("key"), F.col("doc_id").alias("rep")).withColumn("least", F.min("rep").over(Window.partitionBy("key")))
-    shared = materialise(keyed.withColumn("many", F.max("rep").over(Window.partitionBy("key")) > F.col("least")).filter("many").select("key", "rep", "least"), "shared-keys")
-    reps = shared.select(F.col("rep").alias("doc_id")).distinct()
-    texts = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(reps, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "candidate-texts")
-    stars = shared.filter("rep > least").select(F.col("least").alias("a"), F.col("rep").alias("b")).distinct()
-    linked = materialise(_verify(stars, texts, k, percent), "links")
-    labels = materialise(connected_components(linked), "components")
-    named = shared.select("key", "rep").join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    shared = materialise(keyed.withColumn("size", F.count("*").over(Window.partitionBy("key"))).filter("size > 1").select("key", "rep", "least", "size"), "shared-keys")
     points = emitted.select(F.col("doc_id").alias("rep"), "n", "point")
-    blocks = _blocks(named).join(points, "rep").select("key", "i", "j", "own", "rep", "label", "n", "point")
-    dealt = blocks.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    crossing = materialise(dealt.mapInArrow(_candidates(percent), "a long, b long").distinct(), "candidates")
-    more = _verify(crossing, texts, k, percent)
-    final = connected_components(labels.select(F.col("id").alias("a"), F.col("label").alias("b")).unionByName(more))
-    placed = classes.join(final.withColumnRenamed("id", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    stars = shared.filter("rep > least").select(F.col("least").alias("a"), F.col("rep").alias("b")).distinct()
+    stars = materialise(_bounded(stars, points, percent), "stars")
+    passed = stars.select(F.col("a").alias("least"), F.col("b").alias("rep"), F.lit(True).alias("passed"))
+    met = shared.filter("size > 2").join(passed, ["least", "rep"], "left").withColumn("far", F.col("passed").isNull() & (F.col("rep") > F.col("least")))
+    met = met.withColumn("mixed", F.max("far").over(Window.partitionBy("key")))  # two that met are done
+    met = materialise(met.select("key", "rep", "size", "mixed", F.when(F.col("far") | (F.col("mixed") & (F.col("size") <= FEW)), F.col("rep")).otherwise(F.col("least")).alias("label")), "buckets")
+    tested = materialise(stars.unionByName(_look_up(met.filter("mixed"), points, percent, True)).distinct(), "tested")
+    texts = _texts_of(docs, tested)  # whoever has a partner within the bound has one here
+    links = materialise(_verify(tested, texts, k, percent), "links")
+    labels = materialise(connected_components(links), "components")
+    left, best = met.filter(f"size > {FEW} or not mixed").select("key", "rep", "size"), True  # of small mixed buckets all pairs are tested
+    for n in range(ROUNDS + 1):
+        named = left.select("key", "rep").join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+        crossing = materialise(_look_up(named, points, percent, best).join(tested, ["a", "b"], "left_anti"), "candidates")
+        more = materialise(_verify(crossing, texts, k, percent), "links")
+        done, found = not best, not more.isEmpty()
+        if found:
+            labels = materialise(connected_components(labels.select(F.col("id").alias("a"), F.col("label").alias("b")).unionByName(more)), "components")
+        left = left.filter(f"size > {FEW}")  # of small buckets all pairs are tested now
+        if done:
+            break
+        tested, best = tested.unionByName(crossing), found and n < ROUNDS - 1
+    placed = classes.join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
     least = placed.groupBy("label").agg(F.min("class_id").alias("component_id"))
     whole = materialise(placed.join(least, "label").select("digest", "class_id", "component_id"), "membership")
     rows = features.select("doc_id", "n", "digest")
