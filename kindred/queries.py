@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from kindred.config import PRESETS, Config
 from kindred.functions import brand, fusion, html, strings, vectors
 from kindred.operators import blocking, fallback, graph, merge, reports
+from kindred.plans import pipelines
 from kindred.plans.scratch import materialise
 from kindred.sources import readers, registry, sinks
 
@@ -697,3 +698,63 @@ def bench_aggregate(spark, d):
     x = table(spark, d, "lineitem").filter(F.col("l_shipdate") <= F.lit("1998-09-02").cast("timestamp"))
     value: Column = F.col("l_extendedprice") * (1 - F.col("l_discount"))
     return x.groupBy(F.col("l_returnflag").alias("source"), F.col("l_linestatus").alias("status")).agg(F.count("*").alias("n"), F.round(F.sum(value), 2).alias("revenue"))
+
+
+# Vectors drawn as images: 8 x 8 blocks of colour, as PNG bytes
+
+
+def pictures(spark: SparkSession, d: str) -> DataFrame:
+    """(id, domain, content): every fifth picture is a byte-identical copy of the one before it."""
+    e = table(spark, d, "embeddings").select("vec_id", "embedding")
+    source = e.select((F.col("vec_id") - (F.col("vec_id") % 5 == 4).cast("long")).alias("of"), F.col("vec_id").alias("id"))
+    drawn = e.select(F.col("vec_id").alias("of"), "embedding").join(source, "of").select("id", "embedding")
+
+    def draw(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        from kindred.functions.image import encode_png
+
+        for batch in batches:
+            out = []
+            for v in batch.column(1).to_pylist():
+                x = np.clip(128 + 400 * np.array(v).reshape(8, 8), 0, 255).astype(np.uint8)
+                out.append(encode_png(np.repeat(np.repeat(np.dstack([x, x.T, 255 - x]), 6, 0), 8, 1)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["id", "content"])
+
+    made = drawn.mapInArrow(draw, "id long, content binary")
+    return made.select("id", F.concat(F.lit("site"), F.col("id") % 97, F.lit(".com")).alias("domain"), "content")
+
+
+@query("select vec_id id, true as valid, 64::bigint hash_length, 30::bigint bins, 3.0 total, 'square' layout, 64::bigint dct_length, (vec_id % 5 = 4)::bigint is_copy from embeddings")
+def image_features(spark, d):
+    """Features of every picture, one decode for identical bytes."""
+    made = pipelines.image_features(pictures(spark, d))
+    total = F.round(F.aggregate("color_histogram", F.lit(0.0), lambda acc, x: acc + x), 3)
+    return made.select(
+        "id", "valid", F.length("phash").cast("long").alias("hash_length"), F.size("color_histogram").cast("long").alias("bins"), total.alias("total"),
+        "composition.layout", F.length("dct_hash").cast("long").alias("dct_length"), (F.col("id") % 5 == 4).cast("long").alias("is_copy"),
+    )
+
+
+@query("with h as (select vec_id - (vec_id % 5 = 4)::bigint origin, vec_id from embeddings) select origin, count(*) copies from h group by origin having count(*) > 1")
+def image_copies(spark, d):
+    """Identical pictures by content hash."""
+    p = pictures(spark, d).select("id", strings.content_hash(F.col("content")).alias("h"))
+    return p.groupBy("h").agg(F.min("id").alias("origin"), F.count("*").alias("copies")).filter("copies > 1").select("origin", "copies")
+
+
+@query()
+def image_clusters(spark, d):
+    """Entry A on pictures: features, blocking, fusion, linkage cut, merge in shards."""
+    return pipelines.cluster_images(pictures(spark, d), Config.preset("strict"), shards=8)["membership"]
+
+
+@query("select count(*) images, count(*) valid, 256::bigint sift_length, 42::bigint zernike_length from embeddings where vec_id < 60")
+def image_research_features(spark, d):
+    """I6, I7, I10-I23 on a sample of fixed size."""
+    from kindred.functions import image
+
+    few = readers.head_sites(pictures(spark, d), 60, "id")
+    made = image.with_features(few, image.g2_features, image.G2_SCHEMA).select("id", "features.*")
+    return made.agg(F.count("*").alias("images"), F.count_if("valid").alias("valid"), F.max(F.size("sift_signature")).cast("long").alias("sift_length"), F.max(F.size("zernike_moments")).cast("long").alias("zernike_length"))
