@@ -40,6 +40,12 @@ frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav no
 select summary table tbody td tfoot th thead title tr ul
 """.split()
 )
+# Open elements that a block's start ends.
+PARAGRAPH = frozenset(["p"])
+CLOSES = {
+    "li": frozenset(["p", "li"]), "dt": frozenset(["p", "dt", "dd"]), "dd": frozenset(["p", "dt", "dd"]), "option": frozenset(["option"]),
+    "td": frozenset(["p", "td", "th"]), "th": frozenset(["p", "td", "th"]), "tr": frozenset(["p", "td", "th", "tr"]),
+}
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 # Words of class, id and role names that mark what is not the article.
 HINTS = frozenset(
@@ -50,6 +56,9 @@ notice notices overlay pager pagination popup promo promotion promoted recommend
 share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar widget widgets
 """.split()
 )
+# The same outside an article only, and names that mark the article.
+HINTS_OUTSIDE = frozenset("header topbar".split())
+ARTICLE = frozenset("article articlebody post entry story main".split())
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<)", re.S)
 RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "textarea", "title", "noscript", "template", "iframe", "svg")}
 NAMES = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -60,14 +69,14 @@ LINK_DENSITY, SHORT, STOP_DENSITY = 0.5, 70, 0.2
 GOOD, BAD, OPEN = 1, -1, 0
 
 
-def _hinted(attrs: str) -> bool:
-    if HIDDEN.search(attrs):
-        return True
+def _names(attrs: str) -> set[str]:
+    """Words of the class, id and role names."""
+    out: set[str] = set()
     for found in NAMES.finditer(attrs):
-        value = re.sub(r"([a-z])([A-Z])", r"\1 \2", found[1] or found[2] or found[3] or "").lower()
-        if not HINTS.isdisjoint(WORD.findall(value)):
-            return True
-    return False
+        value = found[1] or found[2] or found[3] or ""
+        out.update(WORD.findall(value.lower()))
+        out.update(WORD.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower()))
+    return out
 
 
 def blocks(page: str) -> Iterator[tuple[str, int, bool, bool]]:
@@ -104,15 +113,14 @@ def blocks(page: str) -> Iterator[tuple[str, int, bool, bool]]:
                 if stack[i][0] in ("article", "main", "table") and name not in BLOCK:
                     break
             continue
-        if name in ("p", "li", "dt", "dd", "option", "tr", "td", "th"):  # closed by the next of its kind
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
+        if name in BLOCK:  # ends what it can't stand in
+            ended, i = CLOSES.get(name, PARAGRAPH), len(stack) - 1
+            while i >= 0 and (stack[i][0] in ended or stack[i][0] not in BLOCK):
+                if stack[i][0] in ended:
                     links -= sum(x[0] == "a" for x in stack[i:])
                     _, out, article = stack[i]
                     del stack[i:]
-                    break
-                if stack[i][0] in BLOCK:
-                    break
+                i -= 1
         attrs = m[3]
         if name in VOID or attrs.endswith("/") and name not in BLOCK:
             continue
@@ -122,9 +130,10 @@ def blocks(page: str) -> Iterator[tuple[str, int, bool, bool]]:
             continue
         stack.append((name, out, article))
         links += name == "a"
-        if name in OUT or name == "header" and not article or attrs and name not in ("html", "body", "article", "main") and _hinted(attrs):
+        named = _names(attrs) if attrs and name not in ("html", "body", "article", "main", "a") else ()
+        if name in OUT or name == "header" and not article or attrs and HIDDEN.search(attrs) or not HINTS.isdisjoint(named) or not article and not HINTS_OUTSIDE.isdisjoint(named):
             out = True
-        if name in ("article", "main") and not out:
+        elif not out and (name in ("article", "main") or not ARTICLE.isdisjoint(named)):
             article = True
     if parts:
         yield "".join(parts), linked, out, article

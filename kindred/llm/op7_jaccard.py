@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from kindred.operators.graph import connected_components
 
-from .common import materialise
+from .common import fresh, materialise
 from .tokens import mixed, shingle_set
 
 #: Fewest and most groups that a set's shingles are hashed into: coordinates of its point.
@@ -351,8 +351,26 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 
     Rows that repeat an id are one document.  A null id is never compared and stays.
     """
-    kept = jaccard_components(docs.filter(F.col("doc_id").isNotNull()), k, percent).filter("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    found = docs.join(kept, docs["doc_id"] == kept["kept_id"]).drop("kept_id")
-    names = found.columns
+    mark, copy = fresh(docs, "kept_id", "copy_no")
+    kept = jaccard_components(docs.filter(F.col("doc_id").isNotNull()), k, percent).filter("doc_id = component_id").select(F.col("doc_id").alias(mark)).distinct()
+    found = docs.join(kept, docs["doc_id"] == kept[mark]).drop(mark)
     number = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.lit(0)))
-    return found.select("*", number.alias("copy_no__")).filter("copy_no__ = 1").select(*names).unionByName(docs.filter(F.col("doc_id").isNull()))
+    once = found.withColumn(copy, number).filter(F.col(copy) == 1).drop(copy)
+    return once.unionByName(docs.filter(F.col("doc_id").isNull()))
+
+
+def oracle(k: int, percent: int) -> str:
+    """DuckDB SQL for all columns: every shingle is joined, so it is for small tables."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return rf"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '[^\x20\x09-\x0D]+') w from documents),
+s as (select doc_id, case when len(w) = 0 then [] else list_sort(list_distinct(list_transform(range(1, greatest(len(w) - {k - 1}, 1) + 1), lambda i: array_to_string(w[i:i + {k - 1}], ' ')))) end s from w),
+c as (select doc_id, len(s)::bigint n, s, case when len(s) = 0 then doc_id else min(doc_id) over (partition by s) end class_id from s),
+r as (select doc_id, n, unnest(s) x from c where doc_id = class_id and n > 0),
+i as (select a.doc_id a, b.doc_id b, a.n na, b.n nb, count(*) c from r a join r b on a.x = b.x and a.doc_id < b.doc_id group by all),
+l as (select a, b from i where 100 * c >= {percent} * (na + nb - c)),
+e as (select a, b from l union all select b, a from l),
+p(id, other) as (select distinct class_id, class_id from c union select p.id, e.b from p join e on p.other = e.a),
+m as (select id, min(other) label from p group by id)
+select doc_id, n n_shingles, label component_id, class_id from c join m on m.id = c.class_id
+"""

@@ -53,7 +53,7 @@ def digests(docs: DataFrame) -> DataFrame:
 
 def shared_buckets(hashed: DataFrame) -> DataFrame:
     """The ids whose hash occurs more than once; only hashes and ids move."""
-    several = hashed.groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1").select("digest")
+    several = materialise(hashed.groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1").select("digest"), "shared-digests")  # a hot hash can be split in the join
     return hashed.join(several, "digest", "left_semi").select("doc_id").distinct()
 
 

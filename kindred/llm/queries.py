@@ -55,4 +55,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_secret_scan": op2_secrets.oracle(), "op3_warc_archive": op3_warc.oracle()}
+    return {"op2_secret_scan": op2_secrets.oracle(), "op3_warc_archive": op3_warc.oracle(), "op7_count_vector_join": op7_jaccard.oracle(4, 85)}

@@ -479,6 +479,14 @@ def test_html():
     assert op10_html.main_text(free) == " ".join([long.strip(), "short one", long.strip()])
 
 
+def test_html_containers():
+    wrap = lambda inner: f"<body><div class='site-header'>the of and in</div>{inner}<div id='sideBar'>the of and in the house</div></body>"
+    assert op10_html.main_text(wrap("<div class='post-body'><p>xq zz</p><div class='post-comments'>the of</div></div>")) == "xq zz"
+    assert op10_html.main_text(wrap("<main><h2>Head</h2>body text<ul><li>item<li>other</ul></main>")) == "Head body text item other"
+    assert op10_html.main_text("<article><p>a<p hidden>b<p style='display: none'>c<table><tr><td>d<td>e</table>f</article>") == "a d e f"
+    assert op10_html.main_text("<article>x &lt;b&gt; &#233;&nbsp;y<!-- z --><![CDATA[w]]></article>") == "x <b> é y"
+
+
 def test_html_query(spark, sf):
     pages = spark.read.parquet(f"{sf}/pages.parquet")
     rows = op10_html.extract_pages(pages).join(pages.select("page_id", "html"), "page_id").collect()
