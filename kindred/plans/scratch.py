@@ -39,13 +39,24 @@ def tidy(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
+def materialise(df: DataFrame, label: str, free: bool = False) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage ends there.
 
-    Survives lost executors, unlike localCheckpoint, and each later action reuses the result.
+    Survives lost executors, unlike localCheckpoint, and each later action reuses the result.  ``free`` after a
+    large step lets the shuffle files of finished steps go.
     """
     spark = df.sparkSession
     path = new_path(spark, label)
     df.write.parquet(path)
-    tidy(spark)
-    return spark.read.schema(df.schema).parquet(path)
+    if free:
+        tidy(spark)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table made by ``materialise`` that no later step reads."""
+    jvm = df.sparkSession.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(df.scratch_path)
+    path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
