@@ -20,6 +20,8 @@ from .common import materialise
 
 #: Thousands of slots: each holds about 1/4096 of the records, so bytes even out and the map stays small.
 N_SLOTS = 4096
+#: Rebalancing ends when the heaviest and the lightest shard differ by less than a shard's bytes over this.
+EVEN = 20_000
 
 
 @dataclass(frozen=True)
@@ -54,9 +56,12 @@ class SlotMap:
             insort(held[b], (size, slot))
             shards[slot], load[a], load[b] = b, load[a] - size, load[b] + size
 
+        close = sum(load) // (self.n_shards * EVEN)
         for _ in range(8 * len(shards)):
             hi, lo = max(range(self.n_shards), key=load.__getitem__), min(range(self.n_shards), key=load.__getitem__)
             gap = load[hi] - load[lo]
+            if gap <= close:
+                break
             best = (gap, None, None)
             at = bisect_left(held[hi], (gap // 2, -1))
             for size, slot in held[hi][max(0, at - 1) : at + 1]:
