@@ -9,10 +9,14 @@ import zipfile
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
+#: Rows are whole documents: a thousand of them are a batch large enough, and long texts then fit in memory.
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Send the package's sources to the executors, once for each application."""
+    """Send the package's sources to the executors, once for each application; keep Arrow batches small."""
+    if spark.conf.get(BATCH) == "10000":  # Spark's default; a user's own setting stays
+        spark.conf.set(BATCH, "1000")
     app = spark.sparkContext.applicationId
     if app not in _shipped:
         _shipped.add(app)
