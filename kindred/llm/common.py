@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kindred.plans.scratch import materialise, new_path, scratch_dir
+from kindred.plans.scratch import discard, materialise, new_path, scratch_dir
 
-__all__ = ["fresh", "materialise", "new_path", "scratch_dir", "table"]
+__all__ = ["discard", "fresh", "materialise", "new_path", "scratch_dir", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -21,6 +21,7 @@ repeated rows fall in one class; ties take the smallest id; an empty table gives
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 
 from kindred.operators.graph import connected_components
 
-from .common import fresh, materialise
+from .common import discard, fresh, materialise
 from .tokens import mixed, shingle_set
 
 #: Fewest and most groups that a set's shingles are hashed into: coordinates of its point.
@@ -62,7 +63,10 @@ class Schemes:
         while self.tops[-1] < n:
             top = (self.tops[-1] + 1) * 100 // self.percent
             unequal = (100 - self.percent) * (top + top * 100 // self.percent) // (100 + self.percent)
-            spare = 0 if top < 12 else 1 if top < 24 else 2 if top < 48 else 3
+            spare, low = 0, self.tops[-1] + 1
+            for _ in range(4):  # about as many as a set of the class hardly ever has empty
+                empty = (unequal + 1 + spare) * math.exp(-low / (unequal + 1 + spare))
+                spare = min(math.ceil(empty + 4 * math.sqrt(empty)), (unequal + 1) // 4)
             self.tops.append(top)
             self.groups.append(unequal + 1 + spare if unequal else 0)
             self.spare.append(spare)
@@ -252,7 +256,7 @@ def _texts_of(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     mine = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = mine.join(wanted.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])  # the ids grow with the data
-    return materialise(found, "candidate-texts")
+    return materialise(found, "candidate-texts", free=True)
 
 
 def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -308,29 +312,32 @@ def _blocks(bucket: DataFrame) -> DataFrame:
 
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id and class_id (smallest doc_id with the same set) of every row."""
-    features = materialise(_features(docs, k, percent), "shingles")
-    classes = materialise(
-        features.filter("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("class_id"), F.min(F.when(F.col("keys").isNotNull(), F.col("doc_id"))).alias("rep")), "classes"
-    )
-    emitted = features.filter("keys is not null").join(classes.select("digest", F.col("rep").alias("doc_id")), ["digest", "doc_id"])
-    keyed = emitted.select(F.explode("keys").alias("key"), F.col("doc_id").alias("rep")).withColumn("least", F.min("rep").over(Window.partitionBy("key")))
-    shared = materialise(keyed.withColumn("size", F.count("*").over(Window.partitionBy("key"))).filter("size > 1").select("key", "rep", "least", "size"), "shared-keys")
+    whole = materialise(_features(docs, k, percent), "shingles")
+    features = materialise(whole.select("doc_id", "n", "digest", F.col("keys").isNotNull().alias("emits"), "point"), "sets")
+    classes = materialise(features.filter("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("class_id"), F.min(F.when(F.col("emits"), F.col("doc_id"))).alias("rep")), "classes")
+    chosen = classes.select("digest", F.col("rep").alias("doc_id"))
+    met = whole.filter("keys is not null").join(chosen, ["digest", "doc_id"]).select(F.explode("keys").alias("key"), F.col("doc_id").alias("rep"))
+    keyed = met.withColumn("least", F.min("rep").over(Window.partitionBy("key"))).withColumn("size", F.count("*").over(Window.partitionBy("key")))
+    shared = materialise(keyed.filter("size > 1").select("key", "rep", "least", "size"), "shared-keys", free=True)
+    discard(whole)
+    emitted = features.filter("emits").join(chosen, ["digest", "doc_id"])
     points = emitted.select(F.col("doc_id").alias("rep"), "n", "point")
     stars = shared.filter("rep > least").select(F.col("least").alias("a"), F.col("rep").alias("b")).distinct()
     stars = materialise(_bounded(stars, points, percent), "stars")
     passed = stars.select(F.col("a").alias("least"), F.col("b").alias("rep"), F.lit(True).alias("passed"))
     met = shared.filter("size > 2").join(passed, ["least", "rep"], "left").withColumn("far", F.col("passed").isNull() & (F.col("rep") > F.col("least")))
     met = met.withColumn("mixed", F.max("far").over(Window.partitionBy("key")))  # two that met are done
-    met = materialise(met.select("key", "rep", "size", "mixed", F.when(F.col("far") | (F.col("mixed") & (F.col("size") <= FEW)), F.col("rep")).otherwise(F.col("least")).alias("label")), "buckets")
-    tested = materialise(stars.unionByName(_look_up(met.filter("mixed"), points, percent, True)).distinct(), "tested")
+    met = materialise(met.select("key", "rep", "size", "mixed", F.when(F.col("far") | (F.col("mixed") & (F.col("size") <= FEW)), F.col("rep")).otherwise(F.col("least")).alias("label")), "buckets", free=True)
+    discard(shared)
+    tested = materialise(stars.unionByName(_look_up(met.filter("mixed"), points, percent, True)).distinct(), "tested", free=True)
     texts = _texts_of(docs, tested)  # whoever has a partner within the bound has one here
-    links = materialise(_verify(tested, texts, k, percent), "links")
+    links = materialise(_verify(tested, texts, k, percent), "links", free=True)
     labels = materialise(connected_components(links), "components")
     left, best = met.filter(f"size > {FEW} or not mixed").select("key", "rep", "size"), True  # of small mixed buckets all pairs are tested
     for n in range(ROUNDS + 1):
         named = left.select("key", "rep").join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-        crossing = materialise(_look_up(named, points, percent, best).join(tested, ["a", "b"], "left_anti"), "candidates")
-        more = materialise(_verify(crossing, texts, k, percent), "links")
+        crossing = materialise(_look_up(named, points, percent, best).join(tested, ["a", "b"], "left_anti"), "candidates", free=True)
+        more = materialise(_verify(crossing, texts, k, percent), "links", free=True)
         done, found = not best, not more.isEmpty()
         if found:
             labels = materialise(connected_components(labels.select(F.col("id").alias("a"), F.col("label").alias("b")).unionByName(more)), "components")
@@ -340,9 +347,10 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
         tested, best = tested.unionByName(crossing), found and n < ROUNDS - 1
     placed = classes.join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
     least = placed.groupBy("label").agg(F.min("class_id").alias("component_id"))
-    whole = materialise(placed.join(least, "label").select("digest", "class_id", "component_id"), "membership")
+    discard(texts)
+    final = materialise(placed.join(least, "label").select("digest", "class_id", "component_id"), "membership")
     rows = features.select("doc_id", "n", "digest")
-    full = rows.filter("digest is not null").join(whole, "digest").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "class_id")
+    full = rows.filter("digest is not null").join(final, "digest").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "class_id")
     return full.unionByName(rows.filter("digest is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.col("doc_id").alias("class_id")))
 
 
