@@ -14,6 +14,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+import struct
 from collections.abc import Iterable, Iterator
 from itertools import islice
 
@@ -21,7 +22,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-#: Pieces remembered by a Python worker; when full, the memory is emptied.
+#: Pieces that a Python worker remembers in each of two generations: a full young one becomes the old one, and
+#: pieces met again move back, so frequent pieces stay.
 CACHE = 300_000
 #: Pieces of a text that are handled at once.
 CHUNK = 1 << 18
@@ -107,16 +109,25 @@ class Encoder:
 
     def extend(self, piece: bytes, last: list[int]) -> None:
         """Complete ``last``: after it, last[i] is the token that ends the encoding of piece[:i]."""
-        rank, lengths, follows = self.rank, self.lengths, self.follows
+        get, lengths, fits, follows, loose = self.rank.get, self.lengths.get, self.fits.get, self.follows, self.loose
         for end in range(len(last), len(piece) + 1):
-            for n in (*lengths.get(piece[max(0, end - 2) : end], ()), 1) if end > 1 else (1,):
-                if n <= end:
-                    token = rank.get(piece[end - n : end])
-                    if token is not None and (n == end or follows(last[end - n], token)) and token not in self.loose:
-                        last.append(token)
-                        break
+            for n in lengths(piece[end - 2 : end], ()) if end > 1 else ():
+                if n > end:
+                    continue
+                token = get(piece[end - n : end])
+                if token is None or token in loose:
+                    continue
+                if n == end:
+                    break
+                before = last[end - n]
+                ok = fits(before << 32 | token)
+                if ok or ok is None and follows(before, token):
+                    break
             else:
-                raise ValueError("the vocabulary lacks single bytes")
+                token = get(piece[end - 1 : end])
+                if token is None:
+                    raise ValueError("the vocabulary lacks single bytes")
+            last.append(token)
 
     def encode(self, piece: bytes) -> list[int]:
         """The ids of one piece."""
@@ -165,13 +176,18 @@ def _spelt_out(pattern: str) -> str:
     return re.sub(r"\[[^\]]*\]", inside, pattern).replace(r"\p{L}", f"[{LETTERS}]").replace(r"\p{N}", "[0-9]")
 
 
+def _packed(ids: list[int]) -> bytes:
+    """Ids as little-endian 32-bit numbers."""
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class TextCoder:
     """Whole texts: pieces by pattern, each encoded separately; ids as little-endian 32-bit numbers."""
 
     def __init__(self, encoder: Encoder, pattern: str):
         import regex
 
-        self.encoder, self.memory = encoder, {}
+        self.encoder, self.memory, self.old = encoder, {}, {}
         self.any, self.plain = regex.compile(pattern), re.compile(_spelt_out(pattern))
 
     def encode(self, text: str) -> bytes:
@@ -190,9 +206,11 @@ class TextCoder:
         except KeyError:
             pass
         if len(memory) > CACHE:
-            memory.clear()
+            self.old, self.memory = memory, {}
+            memory = self.memory
+        old, encode = self.old, self.encoder.encode
         for piece in set(pieces).difference(memory):
-            memory[piece] = np.array(self.encoder.encode(piece.encode()), "<u4").tobytes()
+            memory[piece] = old.get(piece) or _packed(encode(piece.encode()))
         return b"".join(map(memory.__getitem__, pieces))
 
     def decode(self, ids: bytes) -> bytes:
