@@ -24,6 +24,11 @@ N_SLOTS = 4096
 EVEN = 20_000
 
 
+def _literal(numbers, kind: str) -> Column:
+    """An array of numbers as one literal, which the optimizer folds."""
+    return F.split(F.lit(",".join(map(str, numbers))), ",").cast(f"array<{kind}>")
+
+
 @dataclass(frozen=True)
 class SlotMap:
     """Which shard each virtual slot belongs to; every edit makes a new version."""
@@ -92,7 +97,7 @@ class SlotMap:
 
     def column(self, slot: Column) -> Column:
         """The shard of a slot, as a lookup in a literal of ``n_slots`` numbers (a fixed, small size)."""
-        return F.element_at(F.array(*[F.lit(s) for s in self.shards]), slot + 1)
+        return F.element_at(_literal(self.shards, "int"), slot + 1)
 
     def save(self, spark: SparkSession, path: str) -> None:
         """Append this version to the map table."""
@@ -143,7 +148,7 @@ def shard_documents(docs: DataFrame, n_shards: int = 16, n_slots: int = N_SLOTS)
         "doc_id", "size", "text_crc32",
         F.lit("bytes").alias("law"),
         current.column(slot).alias("shard"),
-        (F.col("place") + F.element_at(F.array(*[F.lit(o).cast("long") for o in offset]), slot + 1)).alias("slot"),
+        (F.col("place") + F.element_at(_literal(offset, "bigint"), slot + 1)).alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
         slot.alias("virtual_slot"),
         F.lit(current.version).alias("map_version"),
