@@ -5,8 +5,6 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-#: Words whose hash a Python worker remembers.
-MEMO = 100_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -15,22 +13,9 @@ def words(text: str | None) -> list[bytes]:
     return text.encode().lower().split() if text else []
 
 
-class _Hashes(dict):
-    """Hashes of the words seen lately: most words of a text are frequent ones."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > MEMO:
-            self.clear()
-        found = self[word] = xxhash.xxh3_64_intdigest(word)
-        return found
-
-
-_hashes = _Hashes()
-
-
 def word_hashes(ws: list[bytes]) -> np.ndarray:
-    """A 64-bit xxhash of each word."""
-    return np.fromiter(map(_hashes.__getitem__, ws), np.uint64, len(ws))
+    """A 64-bit xxhash of each word (hashing is quicker than remembering rare words)."""
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, ws), np.uint64, len(ws))
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
