@@ -135,13 +135,14 @@ def secret_report(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     """The documents with every span that isn't a widely copied example replaced by ``mark``; other columns stay.
 
-    Only documents that have spans to replace get a new text; n_chars follows the text where it exists.
+    Only documents that have spans to replace get a new text; n_chars follows the text where it exists.  Places
+    belong to an id and a text: rows that share an id, or have none, are masked at their own spans only.
     """
-    cut, key, got = fresh(docs, "cut", "new_text", "doc_id_")
-    judged = scan(docs)
+    cut, key, got, text_key, got_key = fresh(docs, "cut", "new_text", "doc_id_", "text_key", "text_key_")
+    docs = docs.withColumn(text_key, F.sha2(F.coalesce("text", F.lit("")), 256))
+    judged = scan(docs, text_key)
     spans = F.array_sort(F.filter(F.concat("base", "added"), lambda s: ~F.array_contains("example", s["hash"])))
-    places = judged.select(F.col("doc_id").alias(got), "row_key", spans.alias(cut)).filter(F.size(cut) > 0).groupBy(got, "row_key").agg(F.first(cut).alias(cut))
-    places = places.groupBy(got).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(cut)))).alias(cut))
+    places = judged.select(F.col("doc_id").alias(got), F.col(text_key).alias(got_key), spans.alias(cut)).filter(F.size(cut) > 0).groupBy(got, got_key).agg(F.first(cut).alias(cut))
     text = F.col("text")
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
@@ -150,13 +151,13 @@ def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], ahead).otherwise(acc["out"]).alias("out"))
 
     rebuilt = F.aggregate(F.col(cut), start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    joined = docs.join(places, docs["doc_id"].eqNullSafe(places[got]), "left")
+    joined = docs.join(places, docs["doc_id"].eqNullSafe(places[got]) & (docs[text_key] == places[got_key]), "left")
     changed = F.col(cut).isNotNull() & text.isNotNull()
     joined = joined.withColumn(key, F.when(changed, rebuilt))
     out = {"text": F.coalesce(F.col(key), docs["text"]).alias("text")}
     if "n_chars" in docs.columns:
         out["n_chars"] = F.coalesce(F.length(key).cast("long"), docs["n_chars"]).alias("n_chars")
-    return joined.select(*[out.get(c, docs[c]) for c in docs.columns])
+    return joined.select(*[out.get(c, docs[c]) for c in docs.columns if c != text_key])
 
 
 def oracle() -> str:

@@ -140,6 +140,14 @@ def test_ownership_and_redaction(spark):
     assert op2_secrets.secret_report(docs.limit(0)).count() == 0
 
 
+def test_rows_of_one_id_are_masked_at_their_own_spans(spark):
+    texts = {"password=abcdefghijklm": "[secret]", "clean words and nothing else here": "clean words and nothing else here", "see password=nopqrstuvwxyz end": "see [secret] end"}
+    for doc_id in (None, 7):
+        docs = spark.createDataFrame([(doc_id, t, "en", f"s{i}", len(t)) for i, t in enumerate([*texts] * 2)], DOC)
+        out = sorted((r["text"], r["n_chars"]) for r in op2_secrets.redact(docs).collect())
+        assert out == sorted((t, len(t)) for t in [*texts.values()] * 2)
+
+
 # 3: WARC
 
 
