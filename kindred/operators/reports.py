@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kindred.plans.scratch import materialise
+
 # Upper ends of the size buckets of both schemes, and their names.
 SIZE_A = ((1, "1"), (5, "2-5"), (10, "6-10"), (20, "11-20"), (None, ">20"))
 SIZE_B = ((5, "<=5"), (15, "6-15"), (50, "16-50"), (None, ">50"))
@@ -122,6 +128,55 @@ def top_rows(df: DataFrame, by: str, k: int, *ties: str) -> DataFrame:
     return df.orderBy(F.desc(by), *ties).limit(k)
 
 
+def cosine_top_pairs(df: DataFrame, value: str, k: int, node: str = "id", rows: int = 256) -> DataFrame:
+    """The ``k`` pairs of largest cosine among all pairs, exactly: (id_a, id_b, cos).
+
+    Vectors are packed in blocks of about ``rows``; a task keeps a running top ``k`` over its pairs of blocks.  Cosines count to
+    12 digits, equal ones by id; vectors of length 0 have no cosine.  The work grows with the square of the rows.
+    """
+    kind = dict(df.dtypes)[node]
+    kept = df.select(F.col(node).alias("id"), F.col(value).cast("array<double>").alias("v")).filter("id is not null and v is not null")
+    blocks = max(1, -(-kept.count() // rows))
+
+    def pack(part: pa.Table) -> pa.Table:
+        v = np.array(part.column("v").to_pylist(), "<f8")
+        length = np.sqrt((v * v).sum(1))
+        v = v[length > 0] / length[length > 0, None]
+        ids = [x for x, n in zip(part.column("id").to_pylist(), length, strict=True) if n > 0]
+        return pa.table({"block": part.column("block")[:1], "ids": pa.array([ids], pa.list_(part.column("id").type)), "unit": pa.array([v.tobytes()], pa.binary())})
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        top, least = None, -np.inf  # the best of the block pairs so far, and what another pair must reach
+        for batch in batches:
+            for r in range(batch.num_rows):
+                same, ids, others = batch.column(0)[r].as_py(), *(batch.column(c)[r].values for c in (1, 3))
+                if not len(ids) or not len(others):
+                    continue
+                x, y = (np.frombuffer(batch.column(c)[r].as_py(), "<f8").reshape(n, -1) for c, n in ((2, len(ids)), (4, len(others))))
+                cos = np.round(x @ y.T, 12)
+                if same:
+                    cos[np.tril_indices(len(ids))] = -np.inf  # a pair once, none with itself
+                bound = max(least, np.partition(cos, -k, None)[-k]) if cos.size > k else least
+                a, b = np.nonzero((cos >= bound) & (cos > -np.inf))  # with all that are equal to the last
+                if not len(a):
+                    continue
+                p, q = ids.take(pa.array(a)), others.take(pa.array(b))
+                first = pc.less(p, q)
+                found = pa.table({"id_a": pc.if_else(first, p, q), "id_b": pc.if_else(first, q, p), "cos": cos[a, b]})
+                top = pa.concat_tables([top, found]) if top else found
+                top = top.sort_by([("cos", "descending"), ("id_a", "ascending"), ("id_b", "ascending")]).slice(0, k).combine_chunks()
+                if top.num_rows == k:
+                    least = top["cos"][-1].as_py()
+        if top:
+            yield from top.to_batches()
+
+    packed = kept.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks))).groupBy("block").applyInArrow(pack, f"block long, ids array<{kind}>, unit binary")
+    packed = materialise(packed, "vector-blocks")
+    x, y = (packed.select(F.col("block").alias(f"block_{s}"), F.col("ids").alias(f"ids_{s}"), F.col("unit").alias(f"unit_{s}")) for s in "ab")
+    pairs = x.join(y, F.col("block_a") <= F.col("block_b")).select((F.col("block_a") == F.col("block_b")).alias("same"), "ids_a", "unit_a", "ids_b", "unit_b")
+    return top_rows(pairs.mapInArrow(best, f"id_a {kind}, id_b {kind}, cos double"), "cos", k, "id_a", "id_b")
+
+
 def score_histogram(scores: DataFrame, score: Column, bins: int = 20, low: float = 0.0, high: float = 1.0) -> DataFrame:
     """Scores by bin of equal width; the last bin includes the upper end."""
     bin_ = F.least(F.floor((score - low) / ((high - low) / bins)), F.lit(bins - 1)).cast("int")

@@ -138,8 +138,9 @@ def hamming_hex256(spark, d):
 
 @query(MEASURED + " select id_a, id_b, round(cos, 6) cos from m order by cos desc, id_a, id_b limit 50")
 def cosine_pairs_topk(spark, d):
-    """J9, A16."""
-    return reports.top_rows(measured(spark, d).select("id_a", "id_b", F.round("cos", 6).alias("cos")), "cos", 50, "id_a", "id_b")
+    """Of all pairs.  The SQL sees only pairs within 20 bits, so it holds fewer of them."""
+    top = reports.cosine_top_pairs(table(spark, d, "embeddings"), "embedding", 50, "vec_id")
+    return top.select("id_a", "id_b", F.round("cos", 6).alias("cos"))
 
 
 @query(MEASURED + " select id_a, id_b, round(l1, 6) l1, round(l2, 6) l2 from m")

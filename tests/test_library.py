@@ -215,6 +215,28 @@ def test_principal_components(spark):
     assert np.allclose(np.abs(got), np.abs(u[:, :2] * s[:2])) and share.first()["explained"] == pytest.approx(s[0] ** 2 / (s**2).sum())
 
 
+def test_cosine_top_pairs_are_those_of_all_pairs(spark, sf):
+    import __spark_entry__ as entry
+
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding").collect()
+    unit = np.array([r["embedding"] for r in rows], float)
+    unit /= np.sqrt((unit**2).sum(1))[:, None]
+    ids, cos = [r["vec_id"] for r in rows], unit @ unit.T
+    want = sorted((-round(cos[i, j], 12), *sorted((ids[i], ids[j]))) for i in range(len(ids)) for j in range(i))[:50]
+    got = entry.queries()["cosine_pairs_topk"](spark, sf).collect()
+    assert [(r["id_a"], r["id_b"]) for r in got] == [w[1:] for w in want]
+    assert np.allclose([r["cos"] for r in got], [-w[0] for w in want], atol=1e-6)
+
+
+def test_cosine_top_pairs_edges(spark):
+    rows = [(i, [1.0, 2.0]) for i in range(9)] + [(20, [0.0, 0.0]), (21, None), (22, [-1.0, 0.5])]
+    df = spark.createDataFrame(rows, "id long, v array<float>")
+    got = [(r["id_a"], r["id_b"]) for r in reports.cosine_top_pairs(df, "v", 5, rows=2).collect()]
+    assert got == [(0, i) for i in range(1, 6)]
+    assert reports.cosine_top_pairs(df, "v", 100, rows=2).count() == 45
+    assert reports.cosine_top_pairs(df.limit(0), "v", 5).count() == 0
+
+
 def test_throughput(spark):
     rate, left = reports.throughput(F.lit(50), F.lit(5.0), F.lit(100))
     assert one(spark, rate) == 10 and one(spark, left) == 5
