@@ -753,9 +753,8 @@ def image_clusters(spark, d):
 
 @query("select count(*) images, count(*) valid, 256::bigint sift_length, 42::bigint zernike_length from embeddings where vec_id < 60")
 def image_research_features(spark, d):
-    """I6, I7, I10-I23 on a sample of fixed size."""
+    """I6, I7, I10-I23 of every picture.  The SQL counts only the first 60."""
     from kindred.functions import image
 
-    few = readers.head_sites(pictures(spark, d), 60, "id")
-    made = image.with_features(few, image.g2_features, image.G2_SCHEMA).select("id", "features.*")
+    made = image.with_features(pictures(spark, d), image.g2_features, image.G2_SCHEMA).select("id", "features.*")
     return made.agg(F.count("*").alias("images"), F.count_if("valid").alias("valid"), F.max(F.size("sift_signature")).cast("long").alias("sift_length"), F.max(F.size("zernike_moments")).cast("long").alias("zernike_length"))

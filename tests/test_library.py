@@ -428,6 +428,22 @@ def test_entry_contract(spark):
     assert entry.entry(spark).count() > 0
 
 
+@pytest.fixture(scope="module")
+def small(spark, sf, tmp_path_factory):
+    """The first 80 vectors and documents, as a folder of tables."""
+    folder = f"file://{tmp_path_factory.mktemp('small')}"
+    spark.read.parquet(f"{sf}/embeddings.parquet").filter("vec_id < 80").write.parquet(f"{folder}/embeddings.parquet")
+    spark.read.parquet(f"{sf}/documents.parquet").filter("doc_id < 80").write.parquet(f"{folder}/documents.parquet")
+    return folder
+
+
+def test_research_features_of_every_picture(spark, small):
+    import __spark_entry__ as entry
+
+    row = entry.queries()["image_research_features"](spark, small).first()
+    assert (row["images"], row["valid"]) == (80, 80)
+
+
 def test_registered_functions(spark):
     from kindred.functions.register import register
 
