@@ -260,12 +260,12 @@ def threshold_sweep(spark, d):
 
 @query()
 def singleton_merge(spark, d):
-    """G6 in shards: greedy merging of single vectors (sequential by nature, so tested on small cases)."""
+    """Greedy merging of single vectors by the exact rule (sequential by nature, so tested on small cases)."""
     e = hashes(spark, d).select("id", "word", "label")
     labels = materialise(graph.components_with_nodes(e, near(spark, d), "id", "id_a", "id_b"), "labels")
     single = labels.groupBy("label").agg(F.count("*").alias("n"), F.min("id").alias("id")).filter("n = 1").select("id")
     close = lambda a, b: bin((int(a["word"]) ^ int(b["word"])) & (1 << 64) - 1).count("1") <= 24 or a["label"] == b["label"]
-    merged = merge.merge_singletons(e.join(single, "id", "left_semi"), close, shards=4)
+    merged = merge.merge_singletons(e.join(single, "id", "left_semi"), close)
     return merge.renumbered(labels.join(single, "id", "left_anti"), merged)
 
 
@@ -747,8 +747,8 @@ def image_copies(spark, d):
 
 @query()
 def image_clusters(spark, d):
-    """Entry A on pictures: features, blocking, fusion, linkage cut, merge in shards."""
-    return pipelines.cluster_images(pictures(spark, d), Config.preset("strict"), shards=8)["membership"]
+    """Entry A on pictures: features, blocking, fusion, linkage cut, merge by the exact rule."""
+    return pipelines.cluster_images(pictures(spark, d), Config.preset("strict"))["membership"]
 
 
 @query("select count(*) images, count(*) valid, 256::bigint sift_length, 42::bigint zernike_length from embeddings where vec_id < 60")

@@ -444,6 +444,44 @@ def test_research_features_of_every_picture(spark, small):
     assert (row["images"], row["valid"]) == (80, 80)
 
 
+def groups_of(rows):
+    out = {}
+    for r in rows:
+        out.setdefault(r["cluster_id"], set()).add(r["id"])
+    return sorted(map(sorted, out.values()))
+
+
+def test_singleton_merge_meets_every_single(spark, small):
+    import __spark_entry__ as entry
+    from kindred import queries as own
+
+    rows = sorted(own.hashes(spark, small).select("id", "word", "label").collect(), key=lambda r: r["id"])
+    bits = lambda a, b: bin((a["word"] ^ b["word"]) & (1 << 64) - 1).count("1")
+    group = {r["id"]: {r["id"]} for r in rows}
+    for a in rows:
+        for b in rows:
+            if bits(a, b) <= own.BITS and group[a["id"]] is not group[b["id"]]:
+                both = group[a["id"]] | group[b["id"]]
+                group |= dict.fromkeys(both, both)
+    single = [r for r in rows if len(group[r["id"]]) == 1]
+    merged = merge.greedy_groups([r["id"] for r in single], lambda i, j: bits(single[i], single[j]) <= 24 or single[i]["label"] == single[j]["label"])
+    want = merged + [sorted(g) for g in {min(g): g for g in group.values() if len(g) > 1}.values()]
+    assert groups_of(entry.queries()["singleton_merge"](spark, small).collect()) == sorted(want)
+
+
+def test_image_clusters_meet_every_single(spark, small):
+    import __spark_entry__ as entry
+    from kindred import queries as own
+
+    out = pipelines.cluster_images(own.pictures(spark, small), Config.preset("strict"))
+    got = groups_of(entry.queries()["image_clusters"](spark, small).collect())
+    assert got == groups_of(out["membership"].collect())
+    features = {r["id"]: r.asDict() for r in out["features"].filter("valid").collect()}
+    accepts = pipelines.accepts_singleton(Config.preset("strict"))
+    ones = [g[0] for g in got if len(g) == 1]
+    assert not any(accepts(features[a], features[b]) for a in ones for b in ones if a < b)
+
+
 def test_registered_functions(spark):
     from kindred.functions.register import register
 
