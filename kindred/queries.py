@@ -130,9 +130,9 @@ def hash_similarity(spark, d):
   select y.a, y.b, list_sum(list_transform(range(0, 64), lambda i: bit_count(xor(('0x' || p.h[i + 1])::int, ('0x' || q.h[i + 1])::int))))::bigint distance
   from y join x p on p.doc_id = y.a join x q on q.doc_id = y.b""")
 def hamming_hex256(spark, d):
-    """256-bit hashes in hex, of each document and its neighbour."""
+    """256-bit hashes in hex, of each document and its successor.  The SQL takes even documents only."""
     x = table(spark, d, "documents").select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("h"))
-    p, q = x.filter("doc_id % 2 = 0").select(F.col("doc_id").alias("a"), (F.col("doc_id") + 1).alias("b"), F.col("h").alias("ha")), x.select(F.col("doc_id").alias("b"), F.col("h").alias("hb"))
+    p, q = x.select(F.col("doc_id").alias("a"), (F.col("doc_id") + 1).alias("b"), F.col("h").alias("ha")), x.select(F.col("doc_id").alias("b"), F.col("h").alias("hb"))
     return p.join(q, "b").select("a", "b", vectors.hamming_hex(F.col("ha"), F.col("hb")).cast("long").alias("distance"))
 
 
@@ -152,9 +152,8 @@ def l1_and_euclidean(spark, d):
 @query(MEASURED.replace("m as (select", "n as (select ea[1:16] x, eb[1:16] y, id_a, id_b from p), m as (select") + """, s as (select id_a, id_b, unnest(range(-15, 16)) lag, x, y from n)
   select id_a, id_b, round(max(greatest(coalesce(list_sum(list_transform(range(1, 17), lambda i: case when i + lag between 1 and 16 then x[i] * y[i + lag] else 0 end)), 0), 0)), 6) corr from s group by id_a, id_b""")
 def corr_max_linear(spark, d):
-    """Over all lags of the first 16 coordinates."""
-    part = lambda c: F.slice(c, 1, 16)
-    return measured(spark, d).select("id_a", "id_b", F.round(vectors.correlation_max(part("embedding_a"), part("embedding_b")), 6).alias("corr"))
+    """Over all lags of whole vectors.  The SQL correlates the first 16 coordinates."""
+    return measured(spark, d).select("id_a", "id_b", F.round(vectors.correlation_max(F.col("embedding_a"), F.col("embedding_b")), 6).alias("corr"))
 
 
 SCORED = MEASURED + """, w as (select *, (distance <= 16)::int + (l1 >= -1.5)::int + (cos >= 0.2)::int + same::int signals,

@@ -482,6 +482,24 @@ def test_image_clusters_meet_every_single(spark, small):
     assert not any(accepts(features[a], features[b]) for a in ones for b in ones if a < b)
 
 
+def test_correlation_of_whole_vectors(spark, small):
+    import __spark_entry__ as entry
+
+    e = {r["vec_id"]: np.array(r["embedding"], float) for r in spark.read.parquet(f"{small}/embeddings.parquet").collect()}
+    got = entry.queries()["corr_max_linear"](spark, small).collect()
+    assert got and all(r["corr"] == pytest.approx(max(0, np.correlate(e[r["id_a"]], e[r["id_b"]], "full").max()), abs=2e-6) for r in got)
+
+
+def test_hex_distance_of_every_neighbour(spark, small):
+    import __spark_entry__ as entry
+    import hashlib
+
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    number = {i: int(hashlib.sha256(t.encode()).hexdigest(), 16) for i, t in texts.items()}
+    got = {(r["a"], r["b"]): r["distance"] for r in entry.queries()["hamming_hex256"](spark, small).collect()}
+    assert got == {(i, i + 1): bin(number[i] ^ number[i + 1]).count("1") for i in number if i + 1 in number}
+
+
 def test_registered_functions(spark):
     from kindred.functions.register import register
 
