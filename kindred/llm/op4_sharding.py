@@ -112,15 +112,23 @@ class SlotMap:
         rows = df.filter(F.col("version") == version).orderBy("slot").collect()  # n_slots rows
         return cls(version, rows[0]["n_shards"], tuple(r["shard"] for r in rows))
 
+    @staticmethod
+    def stored(spark: SparkSession, path: str) -> bool:
+        """Whether a map table is there."""
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
 
 def virtual_slot(key: Column, n_slots: int = N_SLOTS) -> Column:
     """The fixed slot of a record; independent of the number of shards."""
     return F.pmod(F.xxhash64(key), F.lit(n_slots)).cast("int")
 
 
-def shard_documents(docs: DataFrame, n_shards: int = 16, n_slots: int = N_SLOTS) -> tuple[DataFrame, SlotMap, SlotMap]:
+def shard_documents(docs: DataFrame, n_shards: int = 16, n_slots: int = N_SLOTS, maps: str | None = None) -> tuple[DataFrame, SlotMap, SlotMap]:
     """Shard by bytes: the rows with their shard and position in it, the map used and the map with one more shard.
 
+    ``maps`` is the path of the map table: its latest version is edited, and the version used here is added to it.
+
     One scan of the texts; what moves between executors is a few numbers a row.  Rows of a slot are numbered
     within the slot, so no task needs more than one slot of rows; slot offsets come from the slot totals.
     """
@@ -136,7 +144,13 @@ def shard_documents(docs: DataFrame, n_shards: int = 16, n_slots: int = N_SLOTS)
     )
     totals = sized.groupBy("virtual_slot").agg(F.sum("size").alias("b"), F.count("*").alias("n")).collect()  # n_slots rows at most
     slot_bytes = {r["virtual_slot"]: r["b"] for r in totals}
-    current = SlotMap.initial(n_slots, n_shards).rebalanced(slot_bytes)
+    spark = docs.sparkSession
+    last = SlotMap.load(spark, maps) if maps and SlotMap.stored(spark, maps) else SlotMap.initial(n_slots, n_shards)
+    if len(last.shards) != n_slots or last.n_shards > n_shards:
+        raise ValueError(f"the stored map has {len(last.shards)} slots and {last.n_shards} shards")
+    current = last.grown(slot_bytes, n_shards - last.n_shards) if last.n_shards < n_shards else last.rebalanced(slot_bytes)
+    if maps:
+        current.save(spark, maps)
     grown = current.grown(slot_bytes)
     rows, offset, at = {r["virtual_slot"]: r["n"] for r in totals}, [0] * n_slots, [0] * n_shards
     for slot, shard in enumerate(current.shards):

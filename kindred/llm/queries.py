@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from . import op1_tiling, op2_secrets, op3_warc, op4_sharding, op5_quality, op6_maxent, op7_jaccard, op8_bpe, op9_fingerprint, op10_html
-from .common import table
+from .common import new_path, table
 
 
 def op1_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,7 +21,7 @@ def op3_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op4_sharding.shard_documents(table(spark, sf_dir, "documents"))[0]
+    return op4_sharding.shard_documents(table(spark, sf_dir, "documents"), maps=new_path(spark, "slot-map"))[0]
 
 
 def op10_block_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -215,6 +215,23 @@ def test_slot_map_balances_and_versions(spark, tmp_path):
     assert op4_sharding.SlotMap.load(spark, path) == third and op4_sharding.SlotMap.load(spark, path, 2) == second
 
 
+def test_later_runs_edit_the_stored_map(spark, tmp_path):
+    path, texts = f"file://{tmp_path}/maps", [prose(i, 20 + i % 50) for i in range(600)]
+    docs = docs_of(spark, texts)
+    _, first, _ = op4_sharding.shard_documents(docs.limit(300), maps=path)
+    assert op4_sharding.SlotMap.load(spark, path) == first
+    rows, second, _ = op4_sharding.shard_documents(docs, maps=path)
+    sizes = {s: 0 for s in range(4096)}
+    for r in rows.collect():
+        sizes[r["virtual_slot"]] += r["size"]
+        assert r["shard"] == second.shards[r["virtual_slot"]] and r["map_version"] == second.version
+    assert second == first.rebalanced(sizes) == op4_sharding.SlotMap.load(spark, path)
+    _, third, _ = op4_sharding.shard_documents(docs, 17, maps=path)
+    assert third.version == 4 and all(b in (a, 16) for a, b in zip(second.shards, third.shards, strict=True))
+    with pytest.raises(ValueError):
+        op4_sharding.shard_documents(docs, 8, maps=path)
+
+
 # 5: quality
 
 
