@@ -282,14 +282,106 @@ def test_language_model(spark):
 
 def test_model_is_a_distribution_and_learns():
     rng = np.random.default_rng(0)
-    w = op6_maxent.Weights(rng.normal(size=(op6_maxent.ROWS + 1, 16)).astype(np.float32), rng.normal(size=(op6_maxent.ROWS + 16, 16)).astype(np.float32))
+    w = op6_maxent.Weights(np.ones(op6_maxent.GROUPS))
+    w.first[:-1], w.second[:-16] = rng.normal(size=(op6_maxent.ROWS, 16)), rng.normal(size=(op6_maxent.ROWS, 16))
+    w.ready()
     rows = rng.integers(0, op6_maxent.ROWS, (op6_maxent.FEATURES, 3))
     total = sum(np.exp(w.log_probability(rows, np.full(3, g))) for g in range(op6_maxent.GROUPS))
     assert np.allclose(total, 1, atol=1e-4)
-    tokens, starts = op6_maxent.token_stream(["a b c d " * 400] * 40)
-    rows, groups = op6_maxent.context_rows(tokens, starts), op6_maxent.group_of(tokens)
-    trained, _ = op6_maxent._train_on([(rows, groups)] * 30)
-    assert trained.log_probability(rows, groups).mean() > -1.0 > math.log(1 / 256)
+    c, pairs = np.array([5, 1, 1, 0]), np.array([3, 0, 1, 0])  # a group of three known kinds, and what isn't known
+    share = op6_maxent.token_probability(c, 7, 3, pairs, 4, 2)
+    assert share.sum() == pytest.approx(1)
+    x = np.array([0, 1, 255, 256, 1 << 40, (1 << 64) - 1], np.uint64)
+    assert (op6_maxent.unpack(op6_maxent.pack(x)) == x).all() and len(op6_maxent.unpack(op6_maxent.pack(x[:0]))) == 0
+
+
+def plain_model(texts, held):
+    """The model's log10 probability of each text, by dictionaries and one token at a time."""
+    m = op6_maxent
+    streams = [m.token_stream([t])[0].tolist() for t in texts]
+    counts = Counter(x for s, h in zip(streams, held, strict=True) if not h for x in s)
+    best = sorted(counts, key=lambda x: (-counts[x], np.uint64(x).astype(np.int64)))[: m.FREQUENT]
+    groups = m.Groups(np.array(best, np.uint64), np.array([counts[x] for x in best], np.int64))
+    of = {x: int(groups.of(np.array([x], np.uint64))[0]) for s in streams for x in s}
+    size, kinds = Counter(), Counter()
+    for x, n in counts.items():
+        size[of[x]] += n
+        kinds[of[x]] += 1
+    end = int(m.END)
+    places = []
+    for s, h in zip(streams, held, strict=True):
+        rows = m.context_rows(np.array(s, np.uint64), np.array([0, len(s)])).T.tolist()
+        places.append([(h, rows[i], of[x], s[i - 1] if i else end, x) for i, x in enumerate(s)])
+    w = m.Weights(np.array([size[g] for g in range(m.GROUPS)]))
+    soft = lambda z: np.exp(z) / np.exp(z).sum()
+
+    def parts(rows, g):
+        inside = [(r * 17 + g // 16 * 40503) % m.ROWS for r in rows]
+        return inside, soft(w.first[m.ROWS] + sum(w.first[r] for r in rows)), soft(w.second[m.ROWS + g // 16] + sum(w.second[r] for r in inside))
+
+    for step in m.STEPS:
+        e, o = [np.zeros((m.ROWS, 16)) for _ in "ab"], [np.zeros((m.ROWS, 16)) for _ in "ab"]
+        for h, rows, g, _, _ in (p for ps in places for p in ps):
+            if not h:
+                inside, p, q = parts(rows, g)
+                for i, (cells, share, target) in enumerate(((rows, p, g // 16), (inside, q, g % 16))):
+                    for r in cells:
+                        e[i][r] += share
+                        o[i][r, target] += 1
+        for i, table in enumerate((w.first, w.second)):
+            table[: m.ROWS] = np.clip(table[: m.ROWS] + step * np.log((o[i] + m.PRIOR) / (e[i] + m.PRIOR)), -m.LIMIT, m.LIMIT)
+    pair = Counter((b, x) for ps in places for h, _, _, b, x in ps if not h)
+    total, after = Counter(), Counter()
+    for (b, x), n in pair.items():
+        total[b, of[x]] += n
+        after[b, of[x]] += 1
+    out = []
+    for ps in places:
+        score = 0.0
+        for _, rows, g, b, x in ps:
+            _, p, q = parts(rows, g)
+            alone = (counts[x] + 1) / (size[g] + kinds[g] + 1)
+            n = total[b, g]
+            token = max(pair[b, x] - m.DISCOUNT, 0) / n + m.DISCOUNT * after[b, g] / n * alone if n else alone
+            score += math.log10(p[g // 16] * q[g % 16] * token)
+        out.append(score)
+    return out
+
+
+def test_model_scores_match_a_plain_version_and_no_partitioning(spark):
+    rng = random.Random(3)
+    following = {w: [prose(100 * w + i, 1) for i in range(4)] for w in range(30)}
+    texts = [*ODD[:5], *[" ".join(rng.choice(following[(i + j) % 30]) for j in range(60)) for i in range(60)]]
+    docs = docs_of(spark, texts)
+    held = [zlib.crc32(str(i).encode()) % 7 == 2 for i in range(len(texts))]
+    plain, found = plain_model(texts, held), []
+    for parts in (1, 32):
+        rows = {r["doc_id"]: r["score"] for r in op6_maxent.score_corpus(docs.withColumn("token", F.lit(1)).repartition(parts)).collect()}
+        found.append([rows[i] for i in range(len(texts))])
+    assert found[0] == pytest.approx(found[1], rel=1e-6) and found[0] == pytest.approx(plain, rel=1e-4)
+
+
+def test_model_beats_the_base_on_held_out_text_and_knows_repeated_documents(spark):
+    rng = random.Random(8)
+    words = [prose(i, 1) + str(i % 7) for i in range(120)]
+    follow = {w: rng.sample(words, 4) for w in words}
+
+    def walk(n):
+        out = [rng.choice(words)]
+        while len(out) < n:
+            out.append(rng.choice(follow[out[-1]]))
+        return " ".join(out)
+
+    texts = [walk(150) for _ in range(300)]
+    odd = [" ".join(prose(9000 + i, 1) for i in range(k * 100, k * 100 + 100)) for k in range(20)]
+    docs = docs_of(spark, texts + odd + odd[:10])
+    rows = {r["doc_id"]: r for r in op6_maxent.score_corpus(docs).collect()}
+    of = lambda rs, c: sum(r[c] for r in rs) / sum(r["n_tokens"] for r in rs)
+    fresh = [r for r in rows.values() if r["held_out"] and r["doc_id"] < 300]
+    assert of(fresh, "score") > of(fresh, "base_score") + 0.5
+    learnt = lambda ids: [rows[i] for i in ids if not rows[i]["held_out"]]
+    twice = [r for i in range(300, 310) if not rows[i]["held_out"] and not rows[i + 20]["held_out"] for r in (rows[i],)]
+    assert of(twice, "score") > of(learnt(range(310, 320)), "score")
 
 
 # 7: Jaccard join
