@@ -91,10 +91,14 @@ def correlation_max(a: Column, b: Column, circular: bool = False) -> Column:
 
 def median_bits(values: Column) -> Column:
     """Bits of a vector by its median: the thresholding step of the transform hashes."""
-    v = F.transform(values, lambda x: x.cast("double"))
-    s, n = F.array_sort(v), F.size(values)
-    mid = (F.element_at(s, F.floor((n + 1) / 2).cast("int")) + F.element_at(s, F.floor(n / 2).cast("int") + 1)) / 2
-    return F.array_join(F.transform(v, lambda x: F.when(x > mid, "1").otherwise("0")), "")
+    once = F.transform(F.array(F.array_sort(F.transform(values, lambda x: x.cast("double")))), _middle)  # bound, so it is computed once
+    return F.get(F.transform(once, lambda mid: F.array_join(F.transform(values, lambda x: F.when(x.cast("double") > mid, "1").otherwise("0")), "")), F.lit(0))
+
+
+def _middle(ordered: Column) -> Column:
+    """Median of a sorted array; null if it is empty."""
+    n = F.size(ordered)
+    return (F.get(ordered, F.floor((n - 1) / 2).cast("int")) + F.get(ordered, F.floor(n / 2).cast("int"))) / 2
 
 
 def ones(bits: Column) -> Column:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from itertools import combinations
+from math import comb
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kindred.functions.vectors import hamming_long
+from kindred.plans.scratch import materialise
 
 
 def _sides(df: DataFrame, node: str, *keep: str) -> tuple[DataFrame, DataFrame]:
@@ -19,31 +22,77 @@ def bucket_pairs(df: DataFrame, bucket: str, node: str = "id") -> DataFrame:
     return a.join(b, (a[f"{bucket}_a"] == b[f"{bucket}_b"]) & (F.col("id_a") < F.col("id_b"))).select("id_a", "id_b")
 
 
-def segments(word, bits: int, parts: int):
-    """A word of ``bits`` bits cut into parts: (number, value) of each."""
+def scheme(bits: int, distance: int, rows: int) -> list[int]:
+    """The bit masks that make keys: of distance + r segments r must be equal (pigeonhole), whichever they are.
+
+    A larger r makes longer, more selective keys but more of them: the cheapest for ``rows`` words is taken.
+    All choices find the same pairs.
+    """
+
+    def cost(r: int) -> float:
+        return comb(distance + r, r) * (1 + rows / 2 ** (bits * r / (distance + r)))
+
+    r = min(range(1, max(2, min(6, bits - distance + 1))), key=cost)
+    parts = min(distance + r, bits)
     cuts = [bits * i // parts for i in range(parts + 1)]
-    return F.array(*[F.struct(F.lit(i).alias("seg"), F.shiftrightunsigned(word, lo).bitwiseAND((1 << (hi - lo)) - 1 if hi - lo < 63 else -1).alias("val")) for i, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:], strict=True))])
+    segments = [(1 << hi) - (1 << lo) for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)]
+    signed = lambda m: m - (1 << 64) if m >= 1 << 63 else m
+    return [signed(sum(c)) for c in combinations(segments, r)]
+
+
+def _literal(masks: list[int]) -> Column:
+    return F.array(*[F.lit(m).cast("long") for m in masks])
+
+
+def distinct_words(df: DataFrame, word: str) -> DataFrame:
+    """The words of a column, each once, as a written table: however a word is made, it is made once."""
+    return materialise(df.select(F.col(word).alias("w")).distinct(), "words").filter("w is not null")
+
+
+def word_candidates(words: DataFrame, others: DataFrame, masks: list[int]) -> DataFrame:
+    """(wa, wb, mask): pairs of a word ``w`` of each table that share a key, once for each key.
+
+    An equi-join on keys; a key that very many words have is split by the planner's skew join.
+    """
+
+    def keyed(df: DataFrame, name: str) -> DataFrame:
+        k = F.explode(F.transform(_literal(masks), lambda m: F.struct(m.alias("mask"), F.col("w").bitwiseAND(m).alias("val"))))
+        return df.select(F.col("w").alias(name), k.alias("k")).select(name, "k.mask", "k.val")
+
+    return keyed(words, "wa").join(keyed(others, "wb"), ["mask", "val"]).select("wa", "wb", "mask")
+
+
+def near_words(words: DataFrame, distance: int, bits: int = 64, others: DataFrame | None = None) -> DataFrame:
+    """(wa, wb, distance): all pairs of different words at most ``distance`` bits apart; wa < wb within one table."""
+    masks = scheme(bits, distance, max(1, words.count()))
+    found = word_candidates(words, words if others is None else others, masks).filter("wa < wb" if others is None else "wa <> wb")
+    differ = F.col("wa").bitwiseXOR(F.col("wb"))
+    near = found.withColumn("distance", F.bit_count(differ)).filter(F.col("distance") <= distance)
+    first = F.get(F.filter(_literal(masks), lambda m: differ.bitwiseAND(m) == 0), F.lit(0))
+    return near.filter(F.col("mask") == first).select("wa", "wb", "distance")  # of the keys they share, one counts
+
+
+def _rows_of(near: DataFrame, df: DataFrame, word: str, node: str) -> DataFrame:
+    """Pairs of rows for pairs of words."""
+    x, y = df.select(F.col(node).alias("x"), F.col(word).alias("wa")), df.select(F.col(node).alias("y"), F.col(word).alias("wb"))
+    return near.join(x, "wa").join(y, "wb").select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"), "distance").filter("id_a < id_b")
 
 
 def hamming_pairs(df: DataFrame, word: str, distance: int, bits: int = 64, node: str = "id") -> DataFrame:
-    """All pairs of words at most ``distance`` bits apart, exactly, with the distance.
+    """All pairs of rows whose words are at most ``distance`` bits apart, exactly, with the distance.
 
-    Of distance + 1 segments one must be equal (pigeonhole), so the join is on segments.  Equal words are one
-    row in it, so copies cost nothing; they are expanded at the end.
+    Equal words are one row in the join on keys, so copies cost nothing; they are expanded at the end.
     """
-    words = df.groupBy(word).agg(F.count("*").alias("n")).select(F.col(word).alias("w"))
-    cut = words.select("w", F.explode(segments(F.col("w"), bits, distance + 1)).alias("s")).select("w", "s.seg", "s.val")
-    x, y = cut.withColumnRenamed("w", "wa"), cut.withColumnRenamed("w", "wb")
-    near = x.join(y, ["seg", "val"]).filter("wa < wb").withColumn("distance", hamming_long(F.col("wa"), F.col("wb"))).filter(F.col("distance") <= distance)
-    near = near.select("wa", "wb", "distance").distinct()
-    both = near.unionByName(near.select(F.col("wb").alias("wa"), F.col("wa").alias("wb"), "distance")).unionByName(words.select(F.col("w").alias("wa"), F.col("w").alias("wb"), F.lit(0).alias("distance")))
-    a, b = df.select(F.col(node).alias("id_a"), F.col(word).alias("wa")), df.select(F.col(node).alias("id_b"), F.col(word).alias("wb"))
-    return both.join(a, "wa").join(b, "wb").filter("id_a < id_b").select("id_a", "id_b", "distance")
+    words = distinct_words(df, word)
+    unequal = _rows_of(near_words(words, distance, bits), df, word, node)
+    a, b = _sides(df, node, word)
+    equal = a.join(b, F.col(f"{word}_a") == F.col(f"{word}_b")).filter("id_a < id_b").select("id_a", "id_b", F.lit(0).alias("distance"))
+    return unequal.unionByName(equal)
 
 
 def near_bucket_pairs(df: DataFrame, bucket: str, distance: int = 2, bits: int = 32, node: str = "id") -> DataFrame:
     """Pairs whose buckets differ in one to ``distance`` bits."""
-    return hamming_pairs(df, bucket, distance, bits, node).filter("distance > 0").select("id_a", "id_b")
+    return _rows_of(near_words(distinct_words(df, bucket), distance, bits), df, bucket, node).select("id_a", "id_b")
 
 
 def candidate_pairs(df: DataFrame, bucket: str, distance: int = 2, bits: int = 32, node: str = "id") -> DataFrame:

@@ -17,8 +17,10 @@ from kindred.sources import readers, registry, sinks
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
-#: Bits at which random test vectors give a useful graph.
-BITS, WIDE = 18, 20
+#: Bits within which edited copies of a vector lie, narrowly and widely.
+BITS, WIDE = 6, 8
+#: Every vector comes with edited copies, in which one coordinate of so many has its sign turned.
+EDITS = (23, 13, 9)
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
@@ -40,17 +42,26 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 # Vectors as images: the median of an 8 x 8 block gives a 64-bit hash
 
 
+def edited(spark: SparkSession, d: str) -> DataFrame:
+    """Every vector and its edited copies: id (4 x vec_id, then the copies), vec_id, label, embedding."""
+    e = table(spark, d, "embeddings").select("vec_id", "label", "embedding", F.explode(F.array(*[F.struct(F.lit(j).alias("j"), F.lit(n).alias("n")) for j, n in enumerate((0, *EDITS))])).alias("edit"))
+    turned = F.transform("embedding", lambda x, i: F.when((F.col("edit.n") > 0) & ((i + F.col("vec_id")) % F.greatest(F.col("edit.n"), F.lit(1)) == 0), -x).otherwise(x))
+    return e.select((F.col("vec_id") * 4 + F.col("edit.j")).alias("id"), "vec_id", "label", turned.alias("embedding"))
+
+
 def hashes(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label", "embedding").withColumn("bits", vectors.median_bits(F.col("embedding")))
+    e = edited(spark, d).withColumn("bits", vectors.median_bits(F.col("embedding")))
     return e.withColumn("word", vectors.pack_bits(F.col("bits")))
 
 
-HASHES = """h as (select vec_id id, label, embedding::double[] e,
-  array_to_string(list_transform(embedding::double[], lambda x: case when x > list_median(embedding::double[]) then '1' else '0' end), '') bits from embeddings)"""
+HASHES = f"""originals as (select vec_id, label, embedding::double[] e, unnest([0, 1, 2, 3]) j from embeddings),
+  copies as (select vec_id * 4 + j id, label, list_transform(range(1, len(e) + 1), lambda i: case when j > 0 and (i - 1 + vec_id) % [1, {", ".join(map(str, EDITS))}][j + 1] = 0 then -e[i] else e[i] end) e from originals),
+  h as (select id, label, e, array_to_string(list_transform(e, lambda x: case when x > list_median(e) then '1' else '0' end), '') bits from copies)"""
 
 
 def near(spark: SparkSession, d: str, bits: int = BITS) -> DataFrame:
-    return blocking.hamming_pairs(hashes(spark, d).select("id", "word"), "word", bits)
+    """Pairs of near words, exactly; the hashes are written once, so they aren't made anew in each part of the plan."""
+    return blocking.hamming_pairs(materialise(hashes(spark, d).select("id", "word"), "hashes"), "word", bits)
 
 
 def near_sql(bits: int = BITS) -> str:
@@ -126,19 +137,20 @@ def hash_similarity(spark, d):
     return p.select("id_a", "id_b", (64 - F.col("distance")).cast("long").alias("agree"), F.round(vectors.hash_similarity(F.col("distance")), 6).alias("similarity"))
 
 
-@query("""with x as (select doc_id, sha256(coalesce(text, '')) h from documents), y as (select doc_id a, doc_id + 1 b from documents where doc_id % 2 = 0)
+@query("""with x as (select doc_id, sha256(coalesce(text, '')) h from documents), y as (select doc_id a, doc_id + 1 b from documents)
   select y.a, y.b, list_sum(list_transform(range(0, 64), lambda i: bit_count(xor(('0x' || p.h[i + 1])::int, ('0x' || q.h[i + 1])::int))))::bigint distance
   from y join x p on p.doc_id = y.a join x q on q.doc_id = y.b""")
 def hamming_hex256(spark, d):
-    """256-bit hashes in hex, of each document and its successor.  The SQL takes even documents only."""
+    """256-bit hashes in hex, of each document and its successor."""
     x = table(spark, d, "documents").select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("h"))
     p, q = x.select(F.col("doc_id").alias("a"), (F.col("doc_id") + 1).alias("b"), F.col("h").alias("ha")), x.select(F.col("doc_id").alias("b"), F.col("h").alias("hb"))
     return p.join(q, "b").select("a", "b", vectors.hamming_hex(F.col("ha"), F.col("hb")).cast("long").alias("distance"))
 
 
-@query(MEASURED + " select id_a, id_b, round(cos, 6) cos from m order by cos desc, id_a, id_b limit 50")
+@query("""with e as (select vec_id, embedding::double[] e from embeddings) select a.vec_id id_a, b.vec_id id_b, round(list_cosine_similarity(a.e, b.e), 6) cos from e a join e b on a.vec_id < b.vec_id
+  order by list_cosine_similarity(a.e, b.e) desc, 1, 2 limit 50""")
 def cosine_pairs_topk(spark, d):
-    """Of all pairs.  The SQL sees only pairs within 20 bits, so it holds fewer of them."""
+    """Of all pairs."""
     top = reports.cosine_top_pairs(table(spark, d, "embeddings"), "embedding", 50, "vec_id")
     return top.select("id_a", "id_b", F.round("cos", 6).alias("cos"))
 
@@ -149,35 +161,35 @@ def l1_and_euclidean(spark, d):
     return measured(spark, d).select("id_a", "id_b", F.round("l1", 6).alias("l1"), F.round("l2", 6).alias("l2"))
 
 
-@query(MEASURED.replace("m as (select", "n as (select ea[1:16] x, eb[1:16] y, id_a, id_b from p), m as (select") + """, s as (select id_a, id_b, unnest(range(-15, 16)) lag, x, y from n)
-  select id_a, id_b, round(max(greatest(coalesce(list_sum(list_transform(range(1, 17), lambda i: case when i + lag between 1 and 16 then x[i] * y[i + lag] else 0 end)), 0), 0)), 6) corr from s group by id_a, id_b""")
+@query(f"with {near_sql(WIDE)}" + """, s as (select id_a, id_b, unnest(range(-63, 64)) lag, ea x, eb y from p)
+  select id_a, id_b, round(max(greatest(coalesce(list_sum(list_transform(range(1, 65), lambda i: case when i + lag between 1 and 64 then x[i] * y[i + lag] else 0 end)), 0), 0)), 6) corr from s group by id_a, id_b""")
 def corr_max_linear(spark, d):
-    """Over all lags of whole vectors.  The SQL correlates the first 16 coordinates."""
+    """Over all lags of whole vectors."""
     return measured(spark, d).select("id_a", "id_b", F.round(vectors.correlation_max(F.col("embedding_a"), F.col("embedding_b")), 6).alias("corr"))
 
 
-SCORED = MEASURED + """, w as (select *, (distance <= 16)::int + (l1 >= -1.5)::int + (cos >= 0.2)::int + same::int signals,
+SCORED = MEASURED + """, w as (select *, (distance <= 5)::int + (l1 >= 0.4)::int + (cos >= 0.75)::int + same::int signals,
   0.5 * greatest(0, (64 - distance) / 64.0) + 0.25 * l1 + 0.15 * cos + 0.1 * (1 - distance / 64.0) + case when same then 0.1 else 0 end raw from m)"""
 
 
 @query(SCORED + " select id_a, id_b, signals::bigint signals, round(least(case when signals = 0 and raw > 0.5 then raw * 0.5 else raw end, 1.0), 6) similarity from w")
 def weighted_similarity(spark, d):
     """P2, P3."""
-    c = Config(thresholds=PRESETS["strict"].__class__(16, 0, -1.5))
+    c = Config(thresholds=PRESETS["strict"].__class__(5, 0, 0.4))
     m = measured(spark, d)
-    signals = fusion.match_signals(c.thresholds, F.col("distance"), F.col("l1"), F.when(F.col("cos") >= 0.2, 1).otherwise(-1), F.col("same"))
+    signals = fusion.match_signals(c.thresholds, F.col("distance"), F.col("l1"), F.when(F.col("cos") >= 0.75, 1).otherwise(-1), F.col("same"))
     m = m.withColumn("signals", signals)
     s = fusion.weighted_similarity(c, F.col("distance"), F.col("l1"), F.col("cos"), 1 - F.col("distance") / 64.0, F.col("same"), F.col("signals"))
     return m.select("id_a", "id_b", F.col("signals").cast("long").alias("signals"), F.round(s, 6).alias("similarity"))
 
 
-@query(MEASURED + """ select id_a, id_b, concat_ws(' + ', case when distance <= 16 then printf('pHash (dist=%d)', distance) end, case when cos >= 0.3 then printf('FFT (sim=%.3f)', cos) end,
-  case when l1 >= -2.2 then printf('FMT (sim=%.3f)', l1) end) reason from m where distance <= 16 or cos >= 0.3 or l1 >= -2.2""")
+@query(MEASURED + """ select id_a, id_b, concat_ws(' + ', case when distance <= 3 then printf('pHash (dist=%d)', distance) end, case when cos >= 0.85 then printf('FFT (sim=%.3f)', cos) end,
+  case when l1 >= 0.5 then printf('FMT (sim=%.3f)', l1) end) reason from m where distance <= 3 or cos >= 0.85 or l1 >= 0.5""")
 def or_rule_reason(spark, d):
     """P1, F23, G4."""
     m = measured(spark, d)
-    tests = (F.col("distance") <= 16, F.col("cos") >= 0.3, F.col("l1") >= -2.2)
-    kept = m.filter(fusion.or_rule(F.col("distance"), F.col("cos"), F.col("l1"), 16, 0.3, -2.2))
+    tests = (F.col("distance") <= 3, F.col("cos") >= 0.85, F.col("l1") >= 0.5)
+    kept = m.filter(fusion.or_rule(F.col("distance"), F.col("cos"), F.col("l1"), 3, 0.85, 0.5))
     return kept.select("id_a", "id_b", strings.match_reason(tests[0], F.col("distance"), tests[1], F.col("cos"), tests[2], F.col("l1")).alias("reason"))
 
 
@@ -220,22 +232,22 @@ def other_decisions(spark, d):
     return m.select("id_a", "id_b", F.round(legacy, 6).alias("legacy"), multi.alias("multi"), accept.alias("accept"))
 
 
-@query(f"""with recursive {near_sql()}, g as (select *, list_distance(ea, eb) l2 from p), e as (select id_a a, id_b b from g where l2 <= 1.2 union all select id_b, id_a from g where l2 <= 1.2),
+@query(f"""with recursive {near_sql()}, g as (select *, list_distance(ea, eb) l2 from p), e as (select id_a a, id_b b from g where l2 <= 0.55 union all select id_b, id_a from g where l2 <= 0.55),
   r(id, other) as (select id, id from h union select r.id, e.b from r join e on r.other = e.a) select id, min(other) label from r group by id""")
 def color_gated_components(spark, d):
     """P10, G1, G2."""
     e = hashes(spark, d)
     pairs = blocking.with_features(near(spark, d), e, "id", "embedding")
-    gated = pairs.filter(fusion.color_gate(vectors.euclidean(F.col("embedding_a"), F.col("embedding_b")), 1.2))
+    gated = pairs.filter(fusion.color_gate(vectors.euclidean(F.col("embedding_a"), F.col("embedding_b")), 0.55))
     return graph.components_with_nodes(e, gated, "id", "id_a", "id_b")
 
 
-@query(f"""with recursive {near_sql(WIDE)}, e as (select id_a a, id_b b from p where (64 - distance) / 64.0 >= 0.719 union all select id_b, id_a from p where (64 - distance) / 64.0 >= 0.719),
+@query(f"""with recursive {near_sql(WIDE)}, e as (select id_a a, id_b b from p where (64 - distance) / 64.0 >= 0.89 union all select id_b, id_a from p where (64 - distance) / 64.0 >= 0.89),
   r(id, other) as (select id, id from h union select r.id, e.b from r join e on r.other = e.a) select id, min(other) label from r group by id""")
 def single_linkage_cut(spark, d):
     """The flat cut is the components of near enough pairs."""
     pairs = near(spark, d, WIDE).withColumn("similarity", vectors.hash_similarity(F.col("distance")))
-    return graph.single_linkage_cut(hashes(spark, d), pairs, 1 - 0.719, "id", "id_a", "id_b")
+    return graph.single_linkage_cut(hashes(spark, d), pairs, 1 - 0.89, "id", "id_a", "id_b")
 
 
 @query(f"""with recursive {near_sql()}, e as (select id_a a, id_b b from p union all select id_b, id_a from p),
@@ -248,13 +260,13 @@ def cluster_table(spark, d):
     return graph.clusters(labels, min_size=2).withColumn("members", F.array_join("members", ","))
 
 
-@query(f"""with recursive {near_sql(WIDE)}, t as (select unnest([12.0, 14.0, 16.0, 18.0]) t), e as (select t, id_a a, id_b b from p, t where distance <= t union all select t, id_b, id_a from p, t where distance <= t),
+@query(f"""with recursive {near_sql(WIDE)}, t as (select unnest([2.0, 4.0, 6.0, 8.0]) t), e as (select t, id_a a, id_b b from p, t where distance <= t union all select t, id_b, id_a from p, t where distance <= t),
   r(t, id, other) as (select t, id, id from h, t union select r.t, r.id, e.b from r join e on r.other = e.a and r.t = e.t),
   l as (select t, id, min(other) label from r group by t, id), c as (select t, count(distinct label) clusters from l group by t)
-  select t::double threshold, clusters, t = (select arg_min(t, struct_pack(a := abs(clusters - 480), b := t)) from c) chosen from c""")
+  select t::double threshold, clusters, t = (select arg_min(t, struct_pack(a := abs(clusters - 1000), b := t)) from c) chosen from c""")
 def threshold_sweep(spark, d):
-    """Which threshold gives about 480 clusters."""
-    return merge.threshold_sweep(hashes(spark, d), near(spark, d, WIDE), F.col("distance").cast("double"), [12, 14, 16, 18], 480)
+    """Which threshold gives about 1000 clusters."""
+    return merge.threshold_sweep(hashes(spark, d), near(spark, d, WIDE), F.col("distance").cast("double"), [2, 4, 6, 8], 1000)
 
 
 @query()
@@ -263,7 +275,7 @@ def singleton_merge(spark, d):
     e = hashes(spark, d).select("id", "word", "label")
     labels = materialise(graph.components_with_nodes(e, near(spark, d), "id", "id_a", "id_b"), "labels")
     single = labels.groupBy("label").agg(F.count("*").alias("n"), F.min("id").alias("id")).filter("n = 1").select("id")
-    close = lambda a, b: bin((int(a["word"]) ^ int(b["word"])) & (1 << 64) - 1).count("1") <= 24 or a["label"] == b["label"]
+    close = lambda a, b: bin((int(a["word"]) ^ int(b["word"])) & (1 << 64) - 1).count("1") <= 10 or a["label"] == b["label"]
     merged = merge.merge_singletons(e.join(single, "id", "left_semi"), close)
     return merge.renumbered(labels.join(single, "id", "left_anti"), merged)
 
@@ -634,10 +646,10 @@ def score_histogram(spark, d):
     return reports.score_histogram(measured(spark, d), F.col("cos"), 20, -1.0, 1.0).withColumn("bin", F.col("bin").cast("long"))
 
 
-@query(MEASURED + ", t as (select unnest([0.0, 0.1, 0.2, 0.3, 0.4, 0.5]) threshold) select threshold::double threshold, count(*) filter (cos > threshold) n from m cross join t group by threshold")
+@query(MEASURED + ", t as (select unnest([0.6, 0.7, 0.75, 0.8, 0.85, 0.9]) threshold) select threshold::double threshold, count(*) filter (cos > threshold) n from m cross join t group by threshold")
 def threshold_curve(spark, d):
     """A19."""
-    return reports.threshold_curve(measured(spark, d), F.col("cos"), [0.0, 0.1, 0.2, 0.3, 0.4, 0.5])
+    return reports.threshold_curve(measured(spark, d), F.col("cos"), [0.6, 0.7, 0.75, 0.8, 0.85, 0.9])
 
 
 @query(MEASURED + """ select 'distance' a, 'cos' b, round(corr(distance, cos), 6) r from m union all select 'distance', 'l1', round(corr(distance, l1), 6) from m union all select 'distance', 'l2', round(corr(distance, l2), 6) from m

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from kindred.operators.blocking import hamming_pairs
+from kindred.operators.blocking import distinct_words, near_words
 from kindred.operators.graph import components_with_nodes
 
 
@@ -25,10 +25,12 @@ class HashClusters:
         new = batch.select(F.col("id").cast("long"), F.col("word").cast("long"), F.lit(batch_id).alias("batch"))
         new.write.mode("overwrite").parquet(f"{self.path}/hashes/b={batch_id}")
         known = spark.read.parquet(f"{self.path}/hashes").filter(F.col("batch") <= batch_id)
-        pairs = hamming_pairs(known.select("id", "word"), "word", self.distance, self.bits)
-        fresh = new.select("id").withColumnRenamed("id", "n")
-        touched = pairs.join(fresh, (F.col("n") == F.col("id_a")) | (F.col("n") == F.col("id_b")), "left_semi") if batch_id else pairs
-        edges = touched.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
+        words = distinct_words(new, "word")
+        least = known.groupBy(F.col("word").alias("w")).agg(F.min("id").alias("least"))
+        near = near_words(words, self.distance, self.bits, others=least.select("w"))  # new words meet the known ones only
+        ends = [least.select(F.col("w").alias(w), F.col("least").alias(x)) for w, x in (("wa", "a"), ("wb", "b"))]
+        equal = known.join(words, known["word"] == words["w"], "left_semi").join(least, known["word"] == least["w"]).select(F.col("id").alias("a"), F.col("least").alias("b"))
+        edges = near.join(ends[0], "wa").join(ends[1], "wb").select("a", "b").unionByName(equal)
         if batch_id:
             old = spark.read.parquet(f"{self.path}/labels/b={batch_id - 1}")
             edges = edges.unionByName(old.select(F.col("id").alias("a"), F.col("label").alias("b")))

@@ -149,6 +149,20 @@ def test_pigeonhole_is_exact(spark, distance):
     assert got == {(i, j, dist(words[i], words[j])) for i in range(61) for j in range(i + 1, 61) if dist(words[i], words[j]) <= distance}
 
 
+def test_blocking_meets_few_pairs(spark):
+    rng, n = random.Random(1), 3000
+    words = [rng.getrandbits(64) - (1 << 63) for _ in range(n)]
+    df = spark.createDataFrame([(w,) for w in words], "w long")
+    for distance, most in ((6, 0.02), (8, 0.05)):
+        masks = blocking.scheme(64, distance, n)
+        assert blocking.word_candidates(df, df, masks).filter("wa < wb").count() < most * n * n / 2
+    for rows in (1, 10**4, 10**7):  # whatever the scheme, words that differ in so many bits share a key
+        masks = blocking.scheme(64, 6, rows)
+        for _ in range(200):
+            flips = sum(1 << i for i in rng.sample(range(64), 6))
+            assert any(not flips & m for m in masks)
+
+
 def components(spark, edges):
     df = spark.createDataFrame(edges, "a long, b long")
     return {r["id"]: r["label"] for r in graph.connected_components(df).collect()}
@@ -464,7 +478,7 @@ def test_singleton_merge_meets_every_single(spark, small):
                 both = group[a["id"]] | group[b["id"]]
                 group |= dict.fromkeys(both, both)
     single = [r for r in rows if len(group[r["id"]]) == 1]
-    merged = merge.greedy_groups([r["id"] for r in single], lambda i, j: bits(single[i], single[j]) <= 24 or single[i]["label"] == single[j]["label"])
+    merged = merge.greedy_groups([r["id"] for r in single], lambda i, j: bits(single[i], single[j]) <= 10 or single[i]["label"] == single[j]["label"])
     want = merged + [sorted(g) for g in {min(g): g for g in group.values() if len(g) > 1}.values()]
     assert groups_of(entry.queries()["singleton_merge"](spark, small).collect()) == sorted(want)
 
@@ -485,7 +499,9 @@ def test_image_clusters_meet_every_single(spark, small):
 def test_correlation_of_whole_vectors(spark, small):
     import __spark_entry__ as entry
 
-    e = {r["vec_id"]: np.array(r["embedding"], float) for r in spark.read.parquet(f"{small}/embeddings.parquet").collect()}
+    from kindred import queries as own
+
+    e = {r["id"]: np.array(r["embedding"], float) for r in own.edited(spark, small).collect()}
     got = entry.queries()["corr_max_linear"](spark, small).collect()
     assert got and all(r["corr"] == pytest.approx(max(0, np.correlate(e[r["id_a"]], e[r["id_b"]], "full").max()), abs=2e-6) for r in got)
 
