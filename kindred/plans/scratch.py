@@ -14,10 +14,13 @@ _own_scratch: dict[str, str] = {}
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a private one only where that is unset."""
+    """The shared folder named by ``spark.checkpoint.dir``; a private one where that is unset, on one machine only."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if base:
         return base.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local"):
+        raise RuntimeError(f"spark.checkpoint.dir is unset on {master}: a folder that all executors share is needed")
     app = spark.sparkContext.applicationId
     if app not in _own_scratch:
         _own_scratch[app] = tempfile.mkdtemp(prefix="kindred-")
