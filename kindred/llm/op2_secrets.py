@@ -3,8 +3,13 @@
 Candidates are found by pattern in every whole text; each candidate's hash is then counted over distinct
 repositories and owners.  What many owners hold is a copied example; what one owner holds is live-looking.
 
-Edge cases: null and empty texts have no spans; a null source counts as one owner of its own; repeated rows
-count once for ownership and each get the same answer; an empty table gives an empty result.
+A value in many owners' or in many repositories' texts (a repository is a source and a language) is an example; one
+in a single owner's few repositories is live; what lies between is shared.
+
+Edge cases, each with a defined result: null and empty texts have no spans; very long texts are searched whole, in a
+time below the square of the number of matches; a null source or language counts as one of its own; repeated rows
+count once for ownership and each get the same answer; spans with one start are ordered by kind; an empty table
+gives an empty result; extra columns are ignored in the report and kept, whatever their names, in redaction.
 """
 
 from __future__ import annotations
@@ -26,8 +31,9 @@ HEX = r"[0-9a-f]{16,}"
 TOKEN = r"[A-Za-z0-9+/_-]{20,}"
 KINDS = ("assign", "access", "hex", "token")
 LEAST_VALUE = 12
-#: Owners from which on a value is a widely copied example, and up to which it belongs to its owner.
-MANY_OWNERS, OWN = 3, 1
+#: Owners, or repositories, from which on a value is a widely copied example; and up to which both it is its owner's.
+MANY_OWNERS, MANY_REPOS = 3, 6
+OWN, OWN_REPOS = 1, 2
 
 SPAN = "array<struct<start:int,kind:int,end:int,value:string>>"
 
@@ -40,18 +46,41 @@ def _spans(text: Column, pattern: str, kind: int, value_group: int = 0) -> Colum
     gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(value_group)) if value_group else found
     steps = F.arrays_zip(F.transform(gaps, F.length).alias("gap"), found.alias("found"), values.alias("value"))
-    start = F.struct(F.lit(0).alias("at"), F.lit(None).cast(SPAN).alias("out"))
-    start = start.withField("out", F.array().cast(SPAN))
 
-    def step(acc: Column, x: Column) -> Column:
-        begin, end = acc["at"] + x["gap"], acc["at"] + x["gap"] + F.length(x["found"])
-        span = F.struct(begin.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), x["value"].alias("value"))
-        return F.struct(end.alias("at"), F.array_append(acc["out"], span).cast(SPAN).alias("out"))
+    def placed(steps: Column) -> Column:
+        lengths = F.transform(steps, lambda x: x["gap"] + F.length(x["found"]))
+        both = F.arrays_zip(steps.alias("step"), _sums_before(lengths).alias("at"))
+        return F.transform(both, lambda z: _span(z["at"] + z["step"]["gap"], z["step"], kind))
 
-    places = F.aggregate(F.filter(steps, lambda x: x["found"].isNotNull()), start, step, lambda acc: acc["out"])
+    matches = F.filter(steps, lambda x: x["found"].isNotNull())
+    places = F.get(F.transform(F.array(matches), placed), F.lit(0))  # bound, so the text is searched once
     return F.when(text.rlike(pattern), places).otherwise(F.array().cast(SPAN))
 
 
+def _span(start: Column, step: Column, kind: int) -> Column:
+    end = start + F.length(step["found"])
+    return F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), step["value"].alias("value"))
+
+
+def _fold(lengths: Column) -> Column:
+    """Sums before each place, by a fold that copies what it has: for short arrays."""
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    return F.aggregate(lengths, start, lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out")), lambda acc: acc["out"])
+
+
+def _sums_before(lengths: Column) -> Column:
+    """Sums before each place, by blocks of about the root of the length, so a text of very many matches is no
+    matter of their number's square."""
+
+    def blocked(x: Column) -> Column:
+        width = F.ceil(F.sqrt(F.size(x))).cast("int")
+        blocks = F.transform(F.sequence(F.lit(0), width - 1), lambda i: F.slice(x, i * width + 1, width))
+        sums = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda acc, n: acc + n))
+        return F.flatten(F.transform(F.arrays_zip(blocks.alias("b"), _fold(sums).alias("o")), lambda z: F.transform(_fold(z["b"]), lambda n: n + z["o"])))
+
+    return F.when(F.size(lengths) <= 64, _fold(lengths)).otherwise(F.get(F.transform(F.array(lengths), blocked), F.lit(0)))
+
+
 def base_spans(text: Column) -> Column:
     """All assign, access and hex spans, by start and then kind."""
     assign = F.filter(_spans(text, ASSIGN, 0, 2), lambda s: F.length(s["value"]) >= LEAST_VALUE)
@@ -91,7 +120,7 @@ def ownership(occurrences: DataFrame) -> DataFrame:
     by_repo = occurrences.groupBy("hash", "owner", "repo").agg(F.count("*").alias("n"))
     by_owner = by_repo.groupBy("hash", "owner").agg(F.count("*").alias("repos"), F.sum("n").alias("n"))
     by_hash = by_owner.groupBy("hash").agg(F.count("*").alias("n_owners"), F.sum("repos").alias("n_repos"), F.sum("n").alias("n_rows"))
-    verdict = F.when(F.col("n_owners") >= MANY_OWNERS, "example").when(F.col("n_owners") <= OWN, "live").otherwise("shared")
+    verdict = F.when((F.col("n_owners") >= MANY_OWNERS) | (F.col("n_repos") >= MANY_REPOS), "example").when((F.col("n_owners") <= OWN) & (F.col("n_repos") <= OWN_REPOS), "live").otherwise("shared")
     return by_hash.withColumn("verdict", verdict)
 
 
@@ -181,8 +210,8 @@ p as (select doc_id, owner, repo, kind, name, f[i] m, v[i] v,
 b0 as (select doc_id, owner, repo, kind, name, s::bigint s, (s + length(m))::bigint e, v from p where kind <> 0 or length(v) >= {LEAST_VALUE}),
 b as (select * from b0 where kind < 3 or (regexp_matches(v, '[0-9]') and regexp_matches(v, '[a-z]') and regexp_matches(v, '[A-Z]')
   and not exists (select 1 from b0 x where x.doc_id = b0.doc_id and x.kind < 3 and x.s < b0.e and b0.s < x.e))),
-o as (select v, count(distinct owner) n from b group by v),
-j as (select b.*, case when n >= {MANY_OWNERS} then 'example' when n <= {OWN} then 'live' else 'shared' end verdict from b join o using (v)),
+o as (select v, count(distinct owner) n, count(distinct repo) r from b group by v),
+j as (select b.*, case when n >= {MANY_OWNERS} or r >= {MANY_REPOS} then 'example' when n <= {OWN} and r <= {OWN_REPOS} then 'live' else 'shared' end verdict from b join o using (v)),
 k as (select * from j where kind < 3 or verdict = 'live'),
 r as (select doc_id, count(*) filter (kind = 0) n_assign, count(*) filter (kind = 1) n_access, count(*) filter (kind = 2) n_hex,
   string_agg(name || ':' || s || ':' || e, ',' order by s, kind) filter (kind < 3) base, string_agg(name || ':' || s || ':' || e, ',' order by s, kind) spans,
