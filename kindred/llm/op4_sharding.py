@@ -4,8 +4,13 @@ Each record hashes into one of ``n_slots`` virtual slots.  The bytes of every sl
 versioned slot-to-shard map says where a slot lives.  Rebalancing edits the map (a few slots move from heavy
 shards to light ones) instead of rehashing records; adding shards moves slots into the new shards only.
 
-Edge cases: a null text has no bytes (size 1, CRC of the empty string); a null key hashes to one fixed slot;
-repeated rows share a slot and get successive positions; an empty table gives an empty result.
+The law is ``bytes``: only the shards' sums of sizes bind.  Equal texts are groups for reports; they may stand in
+different shards.
+
+Edge cases, each with a defined result: a null text has no bytes (size 1, CRC of the empty string); a null key hashes
+to one fixed slot; a very long text moves as its size only; repeated rows share a slot and get successive positions,
+ties in any order, which doesn't show; an empty table gives an empty result and keeps the map; columns other than
+doc_id and text are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -127,7 +132,8 @@ def virtual_slot(key: Column, n_slots: int = N_SLOTS) -> Column:
 def shard_documents(docs: DataFrame, n_shards: int = 16, n_slots: int = N_SLOTS, maps: str | None = None) -> tuple[DataFrame, SlotMap, SlotMap]:
     """Shard by bytes: the rows with their shard and position in it, the map used and the map with one more shard.
 
-    ``maps`` is the path of the map table: its latest version is edited, and the version used here is added to it.
+    ``maps`` is the path of the map table.  Where there is none, version 1 deals slots out in turn and is stored.
+    The latest stored version is edited, the edited one is stored as the next, and rows follow what is stored.
 
     One scan of the texts; what moves between executors is a few numbers a row.  Rows of a slot are numbered
     within the slot, so no task needs more than one slot of rows; slot offsets come from the slot totals.
@@ -145,12 +151,16 @@ def shard_documents(docs: DataFrame, n_shards: int = 16, n_slots: int = N_SLOTS,
     totals = sized.groupBy("virtual_slot").agg(F.sum("size").alias("b"), F.count("*").alias("n")).collect()  # n_slots rows at most
     slot_bytes = {r["virtual_slot"]: r["b"] for r in totals}
     spark = docs.sparkSession
-    last = SlotMap.load(spark, maps) if maps and SlotMap.stored(spark, maps) else SlotMap.initial(n_slots, n_shards)
+    first = SlotMap.initial(n_slots, n_shards)
+    if maps and not SlotMap.stored(spark, maps):
+        first.save(spark, maps)
+    last = SlotMap.load(spark, maps) if maps else first
     if len(last.shards) != n_slots or last.n_shards > n_shards:
         raise ValueError(f"the stored map has {len(last.shards)} slots and {last.n_shards} shards")
     current = last.grown(slot_bytes, n_shards - last.n_shards) if last.n_shards < n_shards else last.rebalanced(slot_bytes)
     if maps:
         current.save(spark, maps)
+        current = SlotMap.load(spark, maps)
     grown = current.grown(slot_bytes)
     rows, offset, at = {r["virtual_slot"]: r["n"] for r in totals}, [0] * n_slots, [0] * n_shards
     for slot, shard in enumerate(current.shards):
