@@ -8,9 +8,11 @@ separator; each file is one gzip stream).
 Reading: the data source plans one partition per group of files, takes record-type and header predicates from
 the filters Spark pushes down, parses headers first, and never copies out a payload nobody wants.
 
-Edge cases: null payload is an empty one; a null URL has no target header; line breaks in a URL are percent
-encoded; of rows that repeat an id each gets a record of the same type; no pages give an archive without
-records.
+Edge cases, each with a defined result: null payload is an empty one; a null URL has no target header; line breaks in
+a URL are percent encoded; very long payloads are read whole, one at a time, or skipped in pieces; of rows that repeat
+an id each gets a record of the same type; of equal payloads the smallest id is the response; no pages give an archive
+without records; columns other than page_id, url and html are not read, whatever their names.  In foreign archives
+header bytes that aren't UTF-8 are replaced, and a block without a Content-Length is passed over.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ from .common import new_path
 
 LEAST_REVISIT = 100
 END = "\r\n\r\n"
+#: Records in a file at most: a file is read by one task.
+FILE_RECORDS = 20_000
 # Fixed value: the profile of revisits by equal payload digest in WARC 1.1.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
@@ -69,7 +73,7 @@ def write_warc(marked: DataFrame, path: str) -> None:
         F.concat(F.lit("Content-Length: "), F.when(visit, F.lit(0)).otherwise(F.col("bytes"))),
     )
     record = F.concat(lines, F.lit(END), F.when(visit, F.lit("")).otherwise(F.col("body")))
-    marked.select(record.alias("value")).write.option("lineSep", END).option("compression", "gzip").text(path)
+    marked.select(record.alias("value")).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
 
 
 def _open(path: str):
@@ -198,17 +202,19 @@ class WarcReader(DataSourceReader):
     def _records(self, stream: _Stream) -> Iterator[tuple]:
         while (block := stream.until(b"\r\n\r\n")) is not None:
             fields = {}
-            for line in block.decode("utf-8").split("\r\n")[1:]:
+            for line in block.decode("utf-8", "replace").split("\r\n")[1:]:
                 name, _, value = line.partition(":")
                 fields[name.strip().lower()] = value.strip()
-            length = int(fields["content-length"])
+            length = int(fields.get("content-length", "")) if fields.get("content-length", "").isdigit() else None
+            if length is None:  # not a record's head: go on behind the next blank line
+                continue
             keep = all(self._passes(fields.get(h), how, values) for h, how, values in self.tests)
             wanted = keep and fields.get("warc-type") in self.payload_types
             payload = stream.take(length) if wanted else stream.skip(length)
             stream.skip(4)
             if keep:
                 row = [fields.get(h) for h in HEADERS.values()]
-                row[6:8] = [int(x) if x else None for x in row[6:8]]
+                row[6:8] = [int(x) if x and x.isdigit() else None for x in row[6:8]]
                 yield (*row, payload)
 
     @staticmethod
