@@ -10,13 +10,17 @@ A class bounds how many shingles two similar sets don't share; hashed into more
 group with the very same shingles.  So sets meet by the contents of their groups, which unrelated sets seldom
 share, however frequent a passage is: other shingles stand in the same groups.  A bucket's classes
 are bounded against its smallest one; those that it can't be near to look their best partner up in R-trees over
-blocks of the bucket, so no task needs a whole hot bucket.  These pairs, in proportion to the bucket, are
+blocks of the bucket, so no tree holds a whole hot bucket; only the count and the smallest id of a bucket are taken
+in one task, by a window whose rows (a few numbers each) spill.  These pairs, in proportion to the bucket, are
 verified and components are formed.  Best partners in other components are looked up and verified again while
 that ties components together; then whatever pairs of different components the bound leaves are verified, all
 of them.  A group of near copies so becomes one component without a comparison of each two of its members.
 
-Edge cases: null and empty texts have an empty set and link with nothing; short texts are one shingle;
-repeated rows fall in one class; ties take the smallest id; an empty table gives an empty result.
+Edge cases, each with a defined result: null and empty texts have an empty set and link with nothing; texts of
+fewer words than a shingle are one shingle; very long texts are hashed whole, one text at a time; a row without an
+id is counted but never compared, its component is null; repeated rows fall in one class; rows that repeat an id
+with other texts each get a row, and one of the texts stands for the id when it is compared; ties take the smallest
+id; an empty table gives an empty result; columns other than doc_id and text are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -98,12 +102,12 @@ def _features(docs: DataFrame, k: int, percent: int) -> DataFrame:
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
                 sizes, digests, keys, points = [], [], [], []
-                for text in part.column(1).to_pylist():
+                for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     s = shingle_set(text, k)
                     d = xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None
                     sizes.append(len(s))
                     digests.append(d)
-                    if d is None or d in seen:
+                    if d is None or doc_id is None or d in seen:
                         keys.append(None)
                         points.append(None)
                         continue
@@ -314,7 +318,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     """doc_id, n_shingles, component_id and class_id (smallest doc_id with the same set) of every row."""
     whole = materialise(_features(docs, k, percent), "shingles")
     features = materialise(whole.select("doc_id", "n", "digest", F.col("keys").isNotNull().alias("emits"), "point"), "sets")
-    classes = materialise(features.filter("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("class_id"), F.min(F.when(F.col("emits"), F.col("doc_id"))).alias("rep")), "classes")
+    classes = materialise(features.filter("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("class_id"), F.min(F.when(F.col("emits"), F.col("doc_id"))).alias("rep")), "classes")
     chosen = classes.select("digest", F.col("rep").alias("doc_id"))
     met = whole.filter("keys is not null").join(chosen, ["digest", "doc_id"]).select(F.explode("keys").alias("key"), F.col("doc_id").alias("rep"))
     keyed = met.withColumn("least", F.min("rep").over(Window.partitionBy("key"))).withColumn("size", F.count("*").over(Window.partitionBy("key")))
@@ -350,8 +354,8 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     discard(texts)
     final = materialise(placed.join(least, "label").select("digest", "class_id", "component_id"), "membership")
     rows = features.select("doc_id", "n", "digest")
-    full = rows.filter("digest is not null").join(final, "digest").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "class_id")
-    return full.unionByName(rows.filter("digest is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.col("doc_id").alias("class_id")))
+    full = rows.filter("digest is not null and doc_id is not null").join(final, "digest").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "class_id")
+    return full.unionByName(rows.filter("digest is null or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.col("doc_id").alias("class_id")))
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
