@@ -738,17 +738,60 @@ def pictures(spark: SparkSession, d: str) -> DataFrame:
     return made.select("id", F.concat(F.lit("site"), F.col("id") % 97, F.lit(".com")).alias("domain"), "content")
 
 
-@query("select vec_id id, true as valid, 64::bigint hash_length, 30::bigint bins, 3.0 total, 'square' layout, 64::bigint dct_length, (vec_id % 5 = 4)::bigint is_copy from embeddings")
+#: The pictures' 64 cells: blue, green and red, then grey, hue, saturation and value.
+CELLS = """with o as (select vec_id id, vec_id - (vec_id % 5 = 4)::int of from embeddings), px as (select o.id, unnest(range(64)) i, e.embedding::double[] e from o join embeddings e on e.vec_id = o.of),
+  bgr as (select id, i, floor(least(greatest(128 + 400 * e[i + 1], 0), 255)) b, floor(least(greatest(128 + 400 * e[i % 8 * 8 + i // 8 + 1], 0), 255)) g from px),
+  rgb as (select id, i, b, g, 255 - b r, 0.114 * b + 0.587 * g + 0.299 * (255 - b) grey from bgr),
+  m as (select *, greatest(r, g, b) v, greatest(r, g, b) - least(r, g, b) span from rgb),
+  hue as (select *, case when span = 0 then 0 when v = r then (60 * (g - b) / span + 360) % 360 when v = g then 60 * (2 + (b - r) / span) else 60 * (4 + (r - g) / span) end % 360 hue from m),
+  hsv as (select *, least(round_even(hue / 2, 0), 179.999) % 180 h, case when v = 0 then 0 else round_even(255 * span / v, 0) end s from hue)"""
+
+
+@query(CELLS + """, bins as (select id, unnest([least(floor(h * 10 / 180), 9), 10 + least(floor(s * 10 / 256), 9), 20 + least(floor(v * 10 / 256), 9)])::int bin from hsv), n as (select id, bin, count(*) n from bins group by id, bin),
+  hist as (select id, list_transform(range(30), lambda k: coalesce(list_extract(map(list(bin), list(n))[k::int], 1), 0)) x from (select id, bin, n from n) group by id)
+  select o.id, true as valid, array_to_string(x, ',') histogram, 64::bigint hash_length, 'square' layout, 64::bigint dct_length, (o.id <> of)::bigint is_copy from o join hist using (id)""".replace("list_extract(map(list(bin), list(n))[k::int], 1)", "map(list(bin), list(n))[k::int]"))
 def image_features(spark, d):
-    """Features of every picture, one decode for identical bytes."""
+    """Features of every picture, one decode for identical bytes; the histogram by cells."""
     made = pipelines.image_features(pictures(spark, d))
-    total = F.round(F.aggregate("color_histogram", F.lit(0.0), lambda acc, x: acc + x), 3)
+    cells = F.transform("color_histogram", lambda x: F.round(x * 64).cast("long"))
     return made.select(
-        "id", "valid", F.length("phash").cast("long").alias("hash_length"), F.size("color_histogram").cast("long").alias("bins"), total.alias("total"),
+        "id", "valid", F.array_join(cells, ",").alias("histogram"), F.length("phash").cast("long").alias("hash_length"),
         "composition.layout", F.length("dct_hash").cast("long").alias("dct_length"), (F.col("id") % 5 == 4).cast("long").alias("is_copy"),
     )
 
 
+def _moments_sql(c: str) -> str:
+    return f"round(avg({c}) / 255 + 1e-9, 5) mean_{c}, round(stddev_pop({c}) / 255 + 1e-9, 5) std_{c}"
+
+
+@query(CELLS + f""", mean as (select id, avg(grey) m, avg(r) mr, stddev_pop(r) sr, avg(g) mg, stddev_pop(g) sg from hsv group by id)
+  select id, {", ".join(_moments_sql(c) for c in "rgbhsv")}, round(avg(power((r - mr) / sr, 3)) / 255 + 1e-9, 5) skew_r, round(avg(power((g - mg) / sg, 3)) / 255 + 1e-9, 5) skew_g,
+  string_agg((grey > m)::int::varchar, '' order by i) average_hash from hsv join mean using (id) group by id""")
+def image_moments(spark, d):
+    """Colour moments and the average hash of every picture."""
+
+    def run(batches):
+        import numpy as np
+        import pandas as pd
+        import pyarrow as pa
+
+        from kindred.functions import image
+
+        for batch in batches:
+            rows = []
+            for id_, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                img = image.decode(data)
+                rgb, hsv, vector = image.rgb_moments(img), image.hsv_moments(img), image.color_vector(img)
+                assert np.allclose(vector, [*rgb[::3], hsv[2], hsv[4]])
+                rows.append((id_, *rgb[:8], *hsv, image.average_hash(img)))
+            names = ["id", "mean_r", "std_r", "skew_r", "mean_g", "std_g", "skew_g", "mean_b", "std_b", "mean_h", "std_h", "mean_s", "std_s", "mean_v", "std_v", "average_hash"]
+            yield pa.RecordBatch.from_pandas(pd.DataFrame(rows, columns=names), preserve_index=False)
+
+    numbers = ["mean_r", "std_r", "skew_r", "mean_g", "std_g", "skew_g", "mean_b", "std_b", "mean_h", "std_h", "mean_s", "std_s", "mean_v", "std_v"]
+    made = pictures(spark, d).select("id", "content").mapInArrow(run, "id long, " + ", ".join(f"{n} double" for n in numbers) + ", average_hash string")
+    return made.select("id", *[F.round(F.col(n) + 1e-9, 5).alias(n) for n in numbers], "average_hash")  # the last place of a tie is the same
+
+
 @query("with h as (select vec_id - (vec_id % 5 = 4)::bigint origin, vec_id from embeddings) select origin, count(*) copies from h group by origin having count(*) > 1")
 def image_copies(spark, d):
     """Identical pictures by content hash."""
@@ -762,9 +805,9 @@ def image_clusters(spark, d):
     return pipelines.cluster_images(pictures(spark, d), Config.preset("strict"))["membership"]
 
 
-@query("select count(*) images, count(*) valid, 256::bigint sift_length, 42::bigint zernike_length from embeddings where vec_id < 60")
+@query()
 def image_research_features(spark, d):
-    """I6, I7, I10-I23 of every picture.  The SQL counts only the first 60."""
+    """I6, I7, I10-I23 of every picture (their values are tested against plain loops)."""
     from kindred.functions import image
 
     made = image.with_features(pictures(spark, d), image.g2_features, image.G2_SCHEMA).select("id", "features.*")

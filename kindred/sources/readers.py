@@ -69,14 +69,40 @@ def with_image_names(files: DataFrame, path: Column) -> DataFrame:
     return files.withColumn("filename", name).withColumn("domain", F.regexp_replace(name, r"\.[^.]*$", ""))
 
 
+JPEG = r"(?i)\.jpe?g$"
+
+
+def _decoded(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, content): JPEG files decoded by Spark's own image source, in the JVM, as PNG bytes; broken ones are empty."""
+    found = spark.read.format("image").option("pathGlobFilter", "*.{jpg,jpeg,JPG,JPEG}").option("recursiveFileLookup", True).load(folder)
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        from kindred.functions.image import encode_png
+
+        for batch in batches:
+            out = []
+            for h, w, n, data in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
+                out.append(encode_png(np.frombuffer(data, np.uint8).reshape(h, w, n)) if h > 0 and n in (1, 3, 4) else b"")
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["path", "content"])
+
+    return found.select("image.origin", "image.height", "image.width", "image.nChannels", "image.data").mapInArrow(run, "path string, content binary")
+
+
 def scan_images(spark: SparkSession, folder: str, pattern: str = "*.{jpg,jpeg,JPG,JPEG,png,PNG}") -> DataFrame:
-    """Image files as bytes with name, domain, content hash and size; a stable id from the path.
+    """Image files as bytes with name, domain and size; a stable id from the path.
 
-    Bytes are only read for the columns that are asked for.
+    JPEG files come decoded, as PNG bytes.  Bytes are only read for the columns that are asked for.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(folder)
     named = with_image_names(files, F.col("path"))
-    return named.select(F.xxhash64("path").alias("id"), F.col("path").alias("filepath"), "filename", "domain", F.col("length").alias("size_bytes"), "content")
+    rows = named.select(F.xxhash64("path").alias("id"), F.col("path").alias("filepath"), "filename", "domain", F.col("length").alias("size_bytes"), "content")
+    is_jpeg, plain_path = F.col("filepath").rlike(JPEG), lambda c: F.regexp_replace(c, "^([a-z]+):/+", "$1:/")
+    jpeg = rows.filter(is_jpeg).drop("content").withColumn("path__", plain_path(F.col("filepath")))
+    decoded = _decoded(spark, folder).select(plain_path(F.col("path")).alias("path__"), "content")
+    return rows.filter(~is_jpeg).unionByName(jpeg.join(decoded, "path__", "left").drop("path__"))
 
 
 def data_size(files: DataFrame) -> DataFrame:

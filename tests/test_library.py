@@ -516,6 +516,24 @@ def test_hex_distance_of_every_neighbour(spark, small):
     assert got == {(i, i + 1): bin(number[i] ^ number[i + 1]).count("1") for i in number if i + 1 in number}
 
 
+def test_jpeg_files_are_decoded_by_the_engine(spark, tmp_path):
+    from kindred.sources import readers
+
+    jvm = spark.sparkContext._jvm
+    made = jvm.java.awt.image.BufferedImage(32, 24, 1)
+    for y in range(24):
+        for x in range(32):
+            made.setRGB(x, y, 0xC83214 if x < 16 else 0x1432C8)
+    assert jvm.javax.imageio.ImageIO.write(made, "jpg", jvm.java.io.File(f"{tmp_path}/a.com.jpg"))
+    (tmp_path / "b.com.jpg").write_bytes(b"no picture")
+    (tmp_path / "c.com.png").write_bytes(image.encode_png(picture(1)))
+    rows = {r["domain"]: r for r in readers.scan_images(spark, f"file://{tmp_path}").collect()}
+    img = image.decode(bytes(rows["a.com"]["content"]))
+    assert img.shape == (24, 32, 3) and np.abs(img[12, 4].astype(int) - [0x14, 0x32, 0xC8]).max() < 12 and np.abs(img[12, 28].astype(int) - [0xC8, 0x32, 0x14]).max() < 12
+    assert image.decode(bytes(rows["b.com"]["content"] or b"")) is None and image.decode(bytes(rows["c.com"]["content"])) is not None
+    assert pipelines.run_clustering(spark, f"file://{tmp_path}")["features"].filter("valid").count() == 2
+
+
 def test_registered_functions(spark):
     from kindred.functions.register import register
 
