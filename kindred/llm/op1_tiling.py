@@ -8,8 +8,10 @@ matter, so a passage whose parts were moved is still caught.
 The benchmark is handled in blocks of a bounded size, each broadcast to one pass over the documents: no
 shuffle, and a passage that stands in a third of all documents costs each of them the same.
 
-Edge cases: null and empty texts match nothing; items of fewer than ``seed`` words match nothing; repeated
-items each match; documents keep all their columns, whatever these are called.
+Edge cases, each with a defined result: null and empty texts match nothing; items of fewer than ``seed`` words match
+nothing; very long texts are read whole, and only what lies around shared seeds is tiled; of tiles of equal length
+the first in the item and then in the document is marked first; repeated items and repeated documents each match;
+empty tables of either kind give no match; documents keep all their columns, whatever these are called.
 """
 
 from __future__ import annotations

@@ -6,9 +6,10 @@ digits, attached symbols) live in one hashed table.  A document is the mean of i
 shapes' vectors, with how alike neighbouring words are and how long it is.  The network is trained on a bounded
 sample of labelled rows; a temperature fitted on rows apart from these calibrates its probabilities.
 
-Edge cases: null and empty texts get the score of a document without words; labels that are null are left out;
-with labels of one kind only (or none) every score is the smoothed share of label 1; whole texts are read,
-however long; repeated rows get equal scores.
+Edge cases, each with a defined result: null and empty texts get the score of a document without words; labels that
+are null are left out; of contradictory labels of an id the lower one counts; with labels of one kind only (or none)
+every score is the smoothed share of label 1; whole texts are read, however long; repeated rows get equal scores;
+an empty table gives an empty result; extra columns are kept by the stage and not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -177,7 +178,7 @@ def bucket_of(doc_id: Column, n: int) -> Column:
 
 def fit_quality(docs: DataFrame, labels: DataFrame) -> Model:
     """Train on labelled documents that aren't held out; the sample's ids are few enough to broadcast."""
-    usable = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & (bucket_of(F.col("doc_id"), 4) != 2)).select("doc_id", "quality").dropDuplicates(["doc_id"])
+    usable = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & (bucket_of(F.col("doc_id"), 4) != 2)).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     n = usable.count()
     order = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 20))
     sample = usable.filter(order < int((1 << 20) * min(1.0, TRAIN_ROWS / max(1, n))) + 1)

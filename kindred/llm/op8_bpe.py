@@ -5,8 +5,10 @@ prefix is the whole encoder state: bytes appended at the end only extend it, and
 edit on.  Whether a token may follow another depends on these two alone: no merge may have crossed their border
 while both sides of it stood there.
 
-Edge cases: null and empty texts have no tokens; a piece of any length takes time in proportion to it; repeated
-rows are encoded alike; the rank file's path is a parameter.
+Edge cases, each with a defined result: null and empty texts have no tokens; very long texts are read whole, pieces
+in portions, and a piece of any length takes time in proportion to it; repeated rows are encoded alike; a text has
+one encoding, so there are no ties; an empty table gives an empty result; columns other than doc_id and text are not
+read, whatever their names.  The rank file's path is a parameter.
 """
 
 from __future__ import annotations

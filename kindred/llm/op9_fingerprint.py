@@ -4,8 +4,11 @@ Canonical form: Unicode NFKC, case folding, white space folded to single spaces.
 128-bit xxhash of its UTF-8 bytes plus a number that tells different canonical forms with one hash apart: all
 documents in a bucket of equal hashes are compared byte by byte.
 
-Edge cases: null text is an empty one, whose canonical form is empty; rows that repeat a doc_id are ordered by
-text; a table of one document is its own successor; null ids come first; an empty table gives an empty result.
+Edge cases, each with a defined result: null text is an empty one, whose canonical form is empty; very long texts are
+read whole; rows that repeat a doc_id are ordered by text, and equal rows in any order, which doesn't show; a table of
+one document is its own successor; null ids come first; an empty table gives an empty result; columns other than
+doc_id and text are not read, whatever their names.  An edited text's hash is told apart by bytes from its own
+document's only: another document's form with the very same 128 bits would count as equal to it.
 """
 
 from __future__ import annotations
