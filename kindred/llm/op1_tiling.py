@@ -6,7 +6,9 @@ unmarked, until no run of ``seed`` words is left.  The marked share of the item
 matter, so a passage whose parts were moved is still caught.
 
 The benchmark is handled in blocks of a bounded size, each broadcast to one pass over the documents: no
-shuffle, and a passage that stands in a third of all documents costs each of them the same.
+shuffle, and a passage that stands in a third of all documents costs each of them the same.  Of several blocks one
+at a time is held.  Texts that repeat a word or a phrase thousands of times cost time in proportion to their length
+for each length of tile.
 
 Edge cases, each with a defined result: null and empty texts match nothing; items of fewer than ``seed`` words match
 nothing; very long texts are read whole, and only what lies around shared seeds is tiled; of tiles of equal length
@@ -17,7 +19,7 @@ empty tables of either kind give no match; documents keep all their columns, wha
 from __future__ import annotations
 
 import math
-from collections import defaultdict
+from collections import defaultdict, deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 from pyspark.sql.types import _parse_datatype_string as parse_type
 
-from .common import fresh
+from .common import discard, fresh, materialise
 from .tokens import grams, word_hashes
 
 SEED, COVERAGE = 5, 0.5
@@ -47,26 +49,28 @@ def tokens(text: str | None) -> list[bytes]:
 def tile(item: list[int], doc: list[int], least: int = SEED) -> list[tuple[int, int, int]]:
     """Greedy string tiling: (place in item, place in document, length) of the tiles, longest first.
 
-    The search length starts high, follows longer matches up and is halved down to ``least``.
+    Each round finds the length of the longest common run of unmarked words and marks all runs of that length, so
+    lengths fall from round to round: no more than the square root of twice the item's length are ever tried.
     """
-    taken_item, taken_doc = bytearray(len(item)), bytearray(len(doc))
+    in_item, in_doc = set(item), set(doc)
+    taken_item, taken_doc = bytearray(x not in in_doc for x in item), bytearray(x not in in_item for x in doc)
     tiles: list[tuple[int, int, int]] = []
-    length = max(least, min(20, len(item), len(doc)))
-    while True:
-        found, longest = _scan(item, doc, taken_item, taken_doc, length)
-        if longest > 2 * length:
-            length = longest
-            continue
-        for n in sorted(found, reverse=True):
-            for i, j in found[n]:
-                if any(taken_item[i : i + n]) or any(taken_doc[j : j + n]):
-                    continue  # what is left of it is found again if it is long enough
-                taken_item[i : i + n] = taken_doc[j : j + n] = b"\1" * n
-                tiles.append((i, j, n))
-        if not found:
-            if length == least:
-                return tiles
-            length = max(least, length // 2)
+    high = min(len(item), len(doc))
+    while n := _longest(item, doc, taken_item, taken_doc, least, high):
+        places = _places(_windows(doc, taken_doc, n))
+        for h, i in _windows(item, taken_item, n):
+            if taken_item.find(1, i, i + n) >= 0:
+                continue
+            free = places.get(h, deque())
+            while free and taken_doc.find(1, free[0], free[0] + n) >= 0:
+                free.popleft()  # marked words stay marked: each place is left behind once
+            for j in free:
+                if taken_doc.find(1, j, j + n) < 0 and item[i : i + n] == doc[j : j + n]:
+                    taken_item[i : i + n] = taken_doc[j : j + n] = b"\1" * n
+                    tiles.append((i, j, n))
+                    break
+        high = n - 1
+    return tiles
 
 
 _BASE, _MOD = 1_000_003, (1 << 61) - 1
@@ -87,24 +91,42 @@ def _windows(seq: list[int], taken: bytearray, n: int) -> Iterator[tuple[int, in
             yield h, end - n + 1
 
 
-def _scan(item, doc, taken_item, taken_doc, n):
-    """Matches of at least ``n`` words extended as far as they go, by length; stops at one over 2n."""
-    by_hash = defaultdict(list)
-    for h, i in _windows(item, taken_item, n):
-        by_hash[h].append(i)
-    found, longest = defaultdict(list), 0
+def _places(windows: Iterator[tuple[int, int]]) -> dict[int, deque[int]]:
+    by_hash: dict[int, deque[int]] = defaultdict(deque)
+    for h, at in windows:
+        by_hash[h].append(at)
+    return by_hash
+
+
+def _longest(item, doc, taken_item, taken_doc, least: int, high: int) -> int:
+    """Length of the longest common run of unmarked words, from ``least`` to ``high``; 0 if there is none.
+
+    Halves the range; a run that is found is followed to its end, which a document that holds all of the item
+    needs but one pass for.
+    """
+    stretch = lambda taken: max(map(len, bytes(taken).split(b"\1")))
+    found, n, high = 0, least, min(high, stretch(taken_item), stretch(taken_doc))
+    while n <= high:
+        run = _run_of(item, doc, taken_item, taken_doc, n)
+        if run:
+            found = min(run, high)
+        else:
+            high = n - 1
+        n = (max(found, least - 1) + high) // 2 + 1 if found < high else high + 1
+    return found
+
+
+def _run_of(item, doc, taken_item, taken_doc, n: int) -> int:
+    """How far the first common run of ``n`` words goes; 0 if there is none."""
+    by_hash = _places(_windows(item, taken_item, n))
     for h, j in _windows(doc, taken_doc, n):
         for i in by_hash.get(h, ()):
-            k = 0
-            while i + k < len(item) and j + k < len(doc) and item[i + k] == doc[j + k] and not taken_item[i + k] and not taken_doc[j + k]:
-                k += 1
-            if k < n:  # equal hashes of different words
-                continue
-            longest = max(longest, k)
-            if k > 2 * n:
-                return found, k
-            found[k].append((i, j))
-    return found, longest
+            if item[i : i + n] == doc[j : j + n]:
+                k = n
+                while i + k < len(item) and j + k < len(doc) and item[i + k] == doc[j + k] and not taken_item[i + k] and not taken_doc[j + k]:
+                    k += 1
+                return k
+    return 0
 
 
 class SeedIndex:
@@ -186,18 +208,25 @@ def _around(words: np.ndarray, places: np.ndarray, seed: int) -> list[int]:
 def with_overlaps(docs: DataFrame, benchmark: DataFrame, out: str = "overlaps", seed: int = SEED, threshold: float = COVERAGE) -> DataFrame:
     """``docs`` with all columns and an array of the items that each document contains.
 
-    ``benchmark`` has item_id and text.  One pass over the documents for each block of the benchmark.
+    ``benchmark`` has item_id and text.  One pass over the documents for each block of the benchmark; where there are
+    several, each pass is written as a table and its block let go, so no worker ever holds more than one.
     """
     (mine,) = fresh(docs, out)
     size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_blocks = max(1, math.ceil(size / BLOCK_BYTES))
-    parts = []
+    parts, written = [], None
     for block in range(n_blocks):
         rows = benchmark.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == block).select(F.col("item_id").cast("long"), "text").collect()
         index = docs.sparkSession.sparkContext.broadcast(SeedIndex([tuple(r) for r in rows], seed))
         (name,) = fresh(docs, f"{mine}_{block}")
         docs = _one_pass(docs, index, name, threshold)
         parts.append(name)
+        if n_blocks > 1:
+            docs, before = materialise(docs, "tiled"), written
+            index.destroy()
+            if before is not None:
+                discard(before)
+            written = docs
     return docs.withColumn(mine, F.concat(*parts)).drop(*[p for p in parts if p != mine])
 
 

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import unicodedata
 import zlib
 from collections import Counter
@@ -34,7 +35,7 @@ ODD = [None, "", " \n\t ", "a", "é ß ﬁ İ", "word " * 3000, "same text here
 
 
 def brute_tiles(item, doc, least):
-    """Greedy string tiling by trying every pair of places."""
+    """Greedy string tiling by trying every pair of places: (place in item, place in document, length), longest first."""
     taken_i, taken_d, out = [False] * len(item), [False] * len(doc), []
     while True:
         best = (0, 0, 0)
@@ -43,32 +44,31 @@ def brute_tiles(item, doc, least):
                 k = 0
                 while i + k < len(item) and j + k < len(doc) and item[i + k] == doc[j + k] and not taken_i[i + k] and not taken_d[j + k]:
                     k += 1
-                if k > best[0]:
-                    best = (k, i, j)
-        k, i, j = best
+                if k > best[2]:
+                    best = (i, j, k)
+        i, j, k = best
         if k < least:
             return out
-        out.append(k)
+        out.append(best)
         taken_i[i : i + k] = [True] * k
         taken_d[j : j + k] = [True] * k
 
 
 def test_tiles_match_brute_force():
     rng = random.Random(1)
-    for _ in range(300):
-        item = [rng.randint(0, 3) for _ in range(rng.randint(0, 40))]
-        doc = [rng.randint(0, 3) for _ in range(rng.randint(0, 60))]
-        got = op1_tiling.tile(item, doc, 3)
-        assert all(item[i : i + n] == doc[j : j + n] and n >= 3 for i, j, n in got)
-        for side in (0, 1):
-            places = [x for t in got for x in range(t[side], t[side] + t[2])]
-            assert len(places) == len(set(places))
-        want = brute_tiles(item, doc, 3)
-        assert max((n for _, _, n in got), default=0) == max(want, default=0)
-        left_i, left_d = list(item), list(doc)
-        for n, (i, j, k) in enumerate(got):
-            left_i[i : i + k], left_d[j : j + k] = [-1 - n] * k, [-1001 - n] * k
-        assert not brute_tiles(left_i, left_d, 3)  # nothing long enough is left
+    for words in (2, 4, 9):
+        for _ in range(150):
+            item = [rng.randint(0, words - 1) for _ in range(rng.randint(0, 40))]
+            doc = [rng.randint(0, words - 1) for _ in range(rng.randint(0, 60))]
+            assert op1_tiling.tile(item, doc, 3) == brute_tiles(item, doc, 3)
+
+
+def test_tiling_of_repeated_words_is_not_quadratic():
+    began = time.process_time()
+    broken = [x for n in range(2000) for x in [7] * 5 + [-1 - n]]
+    assert op1_tiling.tile([7] * 2000, broken) == [(5 * n, 6 * n, 5) for n in range(400)]
+    assert op1_tiling.tile([7] * 2000, [7] * 50000) == [(0, 0, 2000)]
+    assert time.process_time() - began < 5
 
 
 def test_contamination(spark):
