@@ -302,6 +302,54 @@ def test_tiered_fetching(spark):
     assert out["b.com"]["success"] and out["b.com"]["recovered"] and not out["a.com"]["recovered"]
 
 
+ANSWERS = [
+    ("Wikipedia", '{"thumbnail": {"source": "https://w/t.png"}}', "https://w/t.png"),
+    ("Wikipedia", '{"originalimage": {"source": "https://w/o.png"}}', "https://w/o.png"),
+    ("Favicon Grabber", '{"icons": [{"src": "https://g/1"}, {"src": "https://g/2", "sizes": "64x64"}, {"src": "https://g/3", "sizes": "64x64"}]}', "https://g/2"),
+    ("Google DNS Logo TXT", '{"Answer": [{"type": 1, "data": "logo_url=https://d/no"}, {"type": 16, "data": "logo_url=ftp://d/no"}, {"type": 16, "data": "v=1 Logo-URL: https://d/l.png"}]}', "https://d/l.png"),
+    ("SecurityTrails DNS", '{"domain": "s.com", "subdomains": ["www", "MyBrand"]}', "https://MyBrand.s.com/logo.png"),
+    ("Wikipedia", "{}", None),
+    ("Favicon Grabber", '{"icons": []}', None),
+    ("Wikidata", '{"search": [1]}', None),
+    ("Wikipedia", "not JSON", None),
+]
+
+
+def test_answers_name_the_same_image_in_both_forms(spark):
+    rows = spark.createDataFrame([(i, *x) for i, x in enumerate(ANSWERS)], "i int, api string, body string, want string")
+    got = rows.select("i", strings.api_json_logo(F.col("body"), F.col("api")).alias("got")).orderBy("i").collect()
+    assert [r["got"] for r in got] == [w for _, _, w in ANSWERS] == [fetch.named_image(a, b.encode()) for a, b, _ in ANSWERS]
+    assert fetch.named_image("Wikipedia", b"\xff\xfe[") is None and fetch.named_image("Wikipedia", b"[1]") is None
+
+
+def test_an_answer_leads_to_its_image(spark):
+    def fake_fetch(url, timeout, headers):
+        """JSON that names an image for a.com, one that is gone for b.com."""
+        if "wikipedia.org" in url:
+            host = "a" if url.endswith("a.com") else "b"
+            return 200, "application/json", ('{"thumbnail": {"source": "https://img.org/%s.png"}}' % host).encode()
+        if url == "https://img.org/a.png":
+            return 200, "image/png", b"x" * 600
+        return 404, "text/html", b""
+
+    sites = spark.createDataFrame([("a.com",), ("b.com",)], "domain string")
+    only = registry.built_in(spark).filter("name in ('Wikipedia', 'Wikidata')")
+    rows = {r["domain"]: r for r in fetch.fetch_tiered(registry.requests(sites, only), fake_fetch).collect()}
+    assert rows["a.com"]["success"] and rows["a.com"]["source"] == "Wikipedia" and rows["a.com"]["size_bytes"] == 600 and rows["a.com"]["attempts"] == 2
+    assert not rows["b.com"]["success"] and rows["b.com"]["attempts"] == 2
+
+
+def test_a_page_leads_to_its_image(spark):
+    def fake_fetch(url, timeout, headers):
+        return (200, "image/png", b"x" * 600) if url == "https://a.com/touch.png" else (404, "text/html", b"")
+
+    html = '<header><img class="logo" src="/gone.png"></header><link rel="apple-touch-icon" href="/touch.png">'
+    pages = spark.createDataFrame([("a.com", "https://a.com/", html), ("b.com", "https://b.com/", "<p>none</p>"), ("c.com", "https://c.com/", None)], "domain string, url string, html string")
+    rows = {r["domain"]: r for r in fetch.fetch_candidates(pages, fake_fetch).collect()}
+    assert rows["a.com"]["source"] == "apple-touch-icon" and rows["a.com"]["attempts"] == 2
+    assert not rows["b.com"]["success"] and not rows["c.com"]["success"] and rows["c.com"]["attempts"] == 0
+
+
 def test_fallback_edges(spark):
     df = spark.createDataFrame([("a", 1, 1, False, "x"), ("a", 2, 1, True, "y"), ("a", 1, 2, True, "z"), ("b", 1, 1, False, "x")], "domain string, tier int, pos int, success boolean, source string")
     rows = {r["domain"]: r for r in fallback.first_success(df).collect()}
