@@ -223,11 +223,12 @@ def encode_documents(docs: DataFrame, rank_path: str, pattern: str, keep_ids: bo
     """doc_id, number of ids, SHA-256 of the ids and of the bytes they decode to; with ``keep_ids`` the ids too.
 
     Row by row, without a shuffle.  The vocabulary is read once, by the driver; its size is fixed by the file.
+    A Python worker has one copy of what is broadcast, so the pieces it remembers serve all its tasks.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(Encoder(load_ranks(rank_path)))
+    shared = docs.sparkSession.sparkContext.broadcast(TextCoder(Encoder(load_ranks(rank_path)), pattern))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = TextCoder(shared.value, pattern)
+        coder = shared.value
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
