@@ -10,11 +10,12 @@ A class bounds how many shingles two similar sets don't share; hashed into more
 group with the very same shingles.  So sets meet by the contents of their groups, which unrelated sets seldom
 share, however frequent a passage is: other shingles stand in the same groups.  A bucket's classes
 are bounded against its smallest one; those that it can't be near to look their best partner up in R-trees over
-blocks of the bucket, so no tree holds a whole hot bucket; only the count and the smallest id of a bucket are taken
-in one task, by a window whose rows (a few numbers each) spill.  These pairs, in proportion to the bucket, are
-verified and components are formed.  Best partners in other components are looked up and verified again while
-that ties components together; then whatever pairs of different components the bound leaves are verified, all
-of them.  A group of near copies so becomes one component without a comparison of each two of its members.
+blocks of the bucket, so no tree holds a whole hot bucket.  Counts and smallest ids of buckets are partial
+aggregates, joined back to the rows by a merge join whose hot keys are split at run time, so no task needs all
+rows of a bucket.  These pairs, in proportion to the bucket, are verified and components are formed.  Best
+partners in other components are looked up and verified again while that ties components together; then whatever
+pairs of different components the bound leaves are verified, all of them.  A group of near copies so becomes one
+component without a comparison of each two of its members.
 
 Edge cases, each with a defined result: null and empty texts have an empty set and link with nothing; texts of
 fewer words than a shingle are one shingle; very long texts are hashed whole, one text at a time; a row without an
@@ -301,10 +302,9 @@ def _blocks(bucket: DataFrame) -> DataFrame:
 
     The largest component's rows never meet each other: only blocks of the others meet all blocks.
     """
-    by_key, by_label = Window.partitionBy("key"), Window.partitionBy("key", "label")
-    several = bucket.withColumn("lo", F.min("label").over(by_key)).withColumn("hi", F.max("label").over(by_key)).filter("lo < hi")
-    counted = several.withColumn("same", F.count("*").over(by_label)).withColumn("all", F.count("*").over(by_key))
-    counted = counted.withColumn("top", F.max(F.struct("same", "label")).over(by_key))
+    by_label = bucket.groupBy("key", "label").agg(F.count("*").alias("same"))
+    by_key = by_label.groupBy("key").agg(F.count("*").alias("labels"), F.sum("same").alias("all"), F.max(F.struct("same", "label")).alias("top"))
+    counted = bucket.join(by_key.filter("labels > 1").drop("labels").hint("merge"), "key")  # a merge join: hot keys are split
     n_top = F.ceil(F.col("top.same") / BLOCK).cast("int")
     n_rest = F.ceil((F.col("all") - F.col("top.same")) / BLOCK).cast("int")
     is_top = F.col("label") == F.col("top.label")
@@ -320,19 +320,27 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     features = materialise(whole.select("doc_id", "n", "digest", F.col("keys").isNotNull().alias("emits"), "point"), "sets")
     classes = materialise(features.filter("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("class_id"), F.min(F.when(F.col("emits"), F.col("doc_id"))).alias("rep")), "classes")
     chosen = classes.select("digest", F.col("rep").alias("doc_id"))
-    met = whole.filter("keys is not null").join(chosen, ["digest", "doc_id"]).select(F.explode("keys").alias("key"), F.col("doc_id").alias("rep"))
-    keyed = met.withColumn("least", F.min("rep").over(Window.partitionBy("key"))).withColumn("size", F.count("*").over(Window.partitionBy("key")))
-    shared = materialise(keyed.filter("size > 1").select("key", "rep", "least", "size"), "shared-keys", free=True)
+    kept = whole.filter("keys is not null").join(chosen, ["digest", "doc_id"]).select(F.col("doc_id").alias("rep"), "keys")
+    kept = materialise(kept, "class-keys", free=True)
     discard(whole)
+    met = kept.select(F.explode("keys").alias("key"), "rep")
+    sizes = met.groupBy("key").agg(F.min("rep").alias("least"), F.count("*").alias("size")).filter("size > 1")
+    sizes = materialise(sizes, "bucket-sizes", free=True)
+    shared = materialise(met.join(sizes.hint("merge"), "key").select("key", "rep", "least", "size"), "shared-keys", free=True)
+    discard(kept)
+    discard(sizes)
     emitted = features.filter("emits").join(chosen, ["digest", "doc_id"])
     points = emitted.select(F.col("doc_id").alias("rep"), "n", "point")
     stars = shared.filter("rep > least").select(F.col("least").alias("a"), F.col("rep").alias("b")).distinct()
     stars = materialise(_bounded(stars, points, percent), "stars")
     passed = stars.select(F.col("a").alias("least"), F.col("b").alias("rep"), F.lit(True).alias("passed"))
     met = shared.filter("size > 2").join(passed, ["least", "rep"], "left").withColumn("far", F.col("passed").isNull() & (F.col("rep") > F.col("least")))
-    met = met.withColumn("mixed", F.max("far").over(Window.partitionBy("key")))  # two that met are done
-    met = materialise(met.select("key", "rep", "size", "mixed", F.when(F.col("far") | (F.col("mixed") & (F.col("size") <= FEW)), F.col("rep")).otherwise(F.col("least")).alias("label")), "buckets", free=True)
+    tried = materialise(met.select("key", "rep", "least", "size", "far"), "tried", free=True)
+    mixed_keys = tried.filter("far").select("key").distinct().withColumn("mixed", F.lit(True))  # two that met are done
+    marked = tried.join(mixed_keys.hint("merge"), "key", "left").withColumn("mixed", F.coalesce("mixed", F.lit(False)))
+    met = materialise(marked.select("key", "rep", "size", "mixed", F.when(F.col("far") | (F.col("mixed") & (F.col("size") <= FEW)), F.col("rep")).otherwise(F.col("least")).alias("label")), "buckets", free=True)
     discard(shared)
+    discard(tried)
     tested = materialise(stars.unionByName(_look_up(met.filter("mixed"), points, percent, True)).distinct(), "tested", free=True)
     texts = _texts_of(docs, tested)  # whoever has a partner within the bound has one here
     links = materialise(_verify(tested, texts, k, percent), "links", free=True)
