@@ -10,9 +10,9 @@ A class bounds how many shingles two similar sets don't share; hashed into more
 group with the very same shingles.  So sets meet by the contents of their groups, which unrelated sets seldom
 share, however frequent a passage is: other shingles stand in the same groups.  A bucket's classes
 are bounded against its smallest one; those that it can't be near to look their best partner up in R-trees over
-blocks of the bucket, so no tree holds a whole hot bucket.  Counts and smallest ids of buckets are partial
-aggregates, joined back to the rows by a merge join whose hot keys are split at run time, so no task needs all
-rows of a bucket.  These pairs, in proportion to the bucket, are verified and components are formed.  Best
+blocks of the bucket, so no tree holds a whole hot bucket.  The first count and smallest id of a bucket come from
+a window, one task a key, whose rows (two numbers each) spill; all later counts are partial aggregates, joined back
+by a merge join whose hot keys are split at run time.  These pairs, in proportion to the bucket, are verified and components are formed.  Best
 partners in other components are looked up and verified again while that ties components together; then whatever
 pairs of different components the bound leaves are verified, all of them.  A group of near copies so becomes one
 component without a comparison of each two of its members.
@@ -320,15 +320,10 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     features = materialise(whole.select("doc_id", "n", "digest", F.col("keys").isNotNull().alias("emits"), "point"), "sets")
     classes = materialise(features.filter("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("class_id"), F.min(F.when(F.col("emits"), F.col("doc_id"))).alias("rep")), "classes")
     chosen = classes.select("digest", F.col("rep").alias("doc_id"))
-    kept = whole.filter("keys is not null").join(chosen, ["digest", "doc_id"]).select(F.col("doc_id").alias("rep"), "keys")
-    kept = materialise(kept, "class-keys", free=True)
+    met = whole.filter("keys is not null").join(chosen, ["digest", "doc_id"]).select(F.explode("keys").alias("key"), F.col("doc_id").alias("rep"))
+    keyed = met.withColumn("least", F.min("rep").over(Window.partitionBy("key"))).withColumn("size", F.count("*").over(Window.partitionBy("key")))
+    shared = materialise(keyed.filter("size > 1").select("key", "rep", "least", "size"), "shared-keys", free=True)
     discard(whole)
-    met = kept.select(F.explode("keys").alias("key"), "rep")
-    sizes = met.groupBy("key").agg(F.min("rep").alias("least"), F.count("*").alias("size")).filter("size > 1")
-    sizes = materialise(sizes, "bucket-sizes", free=True)
-    shared = materialise(met.join(sizes.hint("merge"), "key").select("key", "rep", "least", "size"), "shared-keys", free=True)
-    discard(kept)
-    discard(sizes)
     emitted = features.filter("emits").join(chosen, ["digest", "doc_id"])
     points = emitted.select(F.col("doc_id").alias("rep"), "n", "point")
     stars = shared.filter("rep > least").select(F.col("least").alias("a"), F.col("rep").alias("b")).distinct()
