@@ -434,6 +434,21 @@ def test_texture_and_colour():
     assert len(image.average_hash(a)) == len(image.difference_hash(a)) == 64
 
 
+def test_average_hash_settles_ties_by_colour():
+    for seed in range(40):
+        half = np.random.default_rng(seed).integers(1, 120, 31)
+        x = np.concatenate([120 + half, 120 - half, [120, 120]])  # the mean is the last two cells' shade
+        img = np.repeat(np.repeat(np.dstack([x, x, 255 - x]).reshape(8, 8, 3).astype(np.uint8), 6, 0), 8, 1)
+        shades = [0.114 * v + 0.587 * v + 0.299 * (255 - v) for v in map(float, x)]
+        total = 0.0
+        for v in shades:
+            total += v
+        assert image.average_hash(img) == "".join("1" if v > total / 64 else "0" for v in shades)
+    odd = np.random.default_rng(5).integers(0, 256, (5, 21, 3)).astype(np.uint8)  # enlarged one way, shrunk the other by no whole number
+    g = image.resize(image.grey(odd), 8, 8).ravel()
+    assert image.average_hash(odd) == "".join("1" if v > g.mean() else "0" for v in g)
+
+
 def test_keypoints():
     a, b = picture(5), picture(6)
     for make, match in ((image.orb, lambda x, y: image.match_orb(x, y)[1]), (image.sift, image.match_sift)):
