@@ -52,14 +52,16 @@ def distinct_words(df: DataFrame, word: str) -> DataFrame:
 def word_candidates(words: DataFrame, others: DataFrame, masks: list[int]) -> DataFrame:
     """(wa, wb, mask): pairs of a word ``w`` of each table that share a key, once for each key.
 
-    An equi-join on keys; a key that very many words have is split by the planner's skew join.
+    An equi-join on keys; a key that very many words have is split by the planner's skew join.  The planner takes a
+    table of keys to be as small as that of its words, though it has a row for each mask: both sides are sorted, as
+    a broadcast would go through the driver.
     """
 
     def keyed(df: DataFrame, name: str) -> DataFrame:
         k = F.explode(F.transform(_literal(masks), lambda m: F.struct(m.alias("mask"), F.col("w").bitwiseAND(m).alias("val"))))
         return df.select(F.col("w").alias(name), k.alias("k")).select(name, "k.mask", "k.val")
 
-    return keyed(words, "wa").join(keyed(others, "wb"), ["mask", "val"]).select("wa", "wb", "mask")
+    return keyed(words, "wa").join(keyed(others, "wb").hint("merge"), ["mask", "val"]).select("wa", "wb", "mask")
 
 
 def near_words(words: DataFrame, distance: int, bits: int = 64, others: DataFrame | None = None) -> DataFrame:
@@ -73,9 +75,9 @@ def near_words(words: DataFrame, distance: int, bits: int = 64, others: DataFram
 
 
 def _rows_of(near: DataFrame, df: DataFrame, word: str, node: str) -> DataFrame:
-    """Pairs of rows for pairs of words."""
+    """Pairs of rows for pairs of words; the rows grow with the data, so no side is broadcast."""
     x, y = df.select(F.col(node).alias("x"), F.col(word).alias("wa")), df.select(F.col(node).alias("y"), F.col(word).alias("wb"))
-    return near.join(x, "wa").join(y, "wb").select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"), "distance").filter("id_a < id_b")
+    return near.join(x.hint("merge"), "wa").join(y.hint("merge"), "wb").select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"), "distance").filter("id_a < id_b")
 
 
 def hamming_pairs(df: DataFrame, word: str, distance: int, bits: int = 64, node: str = "id") -> DataFrame:
@@ -86,7 +88,7 @@ def hamming_pairs(df: DataFrame, word: str, distance: int, bits: int = 64, node:
     words = distinct_words(df, word)
     unequal = _rows_of(near_words(words, distance, bits), df, word, node)
     a, b = _sides(df, node, word)
-    equal = a.join(b, F.col(f"{word}_a") == F.col(f"{word}_b")).filter("id_a < id_b").select("id_a", "id_b", F.lit(0).alias("distance"))
+    equal = a.join(b.hint("merge"), F.col(f"{word}_a") == F.col(f"{word}_b")).filter("id_a < id_b").select("id_a", "id_b", F.lit(0).alias("distance"))
     return unequal.unionByName(equal)
 
 

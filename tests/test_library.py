@@ -168,6 +168,12 @@ def components(spark, edges):
     return {r["id"]: r["label"] for r in graph.connected_components(df).collect()}
 
 
+def test_no_table_of_keys_is_broadcast(spark):
+    df = spark.range(300).select("id", F.xxhash64("id").alias("word"))
+    plan = blocking.hamming_pairs(df, "word", 8)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_components(spark):
     assert components(spark, [(0, 1), (2, 3), (1, 4)]) == {0: 0, 1: 0, 4: 0, 2: 2, 3: 2}
     chain = list(range(60))
