@@ -440,6 +440,32 @@ def test_texture_and_colour():
     assert len(image.average_hash(a)) == len(image.difference_hash(a)) == 64
 
 
+def test_dominant_colours_are_those_of_plain_means():
+    for seed, shades in ((0, 3), (1, 9), (2, 256)):
+        img = np.random.default_rng(seed).integers(0, shades, (20, 30, 3)).astype(np.uint8)
+        px, rng, best = img[:, :, ::-1].reshape(-1, 3).astype(float), np.random.default_rng(0), (np.inf,)
+        for _ in range(10):
+            c = px[rng.choice(len(px), 3, replace=False)]
+            for _ in range(20):
+                d = ((px[:, None] - c) ** 2).sum(2)
+                own = d.argmin(1)
+                new = np.array([px[own == i].mean(0) if (own == i).any() else c[i] for i in range(3)])
+                if np.allclose(new, c):
+                    break
+                c = new
+            best = min(best, (d.min(1).sum(), c, np.bincount(own, minlength=3) / len(px)), key=lambda t: t[0])
+        order = np.argsort(-best[2], kind="stable")
+        assert image.dominant_colors(img) == pytest.approx(np.hstack([best[1][order], best[2][order, None]]).ravel())
+
+
+def test_pictures_are_dealt_out_to_all_tasks(spark):
+    from pyspark import TaskContext
+
+    df = spark.range(60).select("id", F.col("id").cast("string").cast("binary").alias("content"))
+    made = image.with_features(df, lambda data: {"task": TaskContext.get().partitionId()}, "task int")
+    assert made.select("features.task").distinct().count() == 4 and made.count() == 60
+
+
 def test_average_hash_settles_ties_by_colour():
     for seed in range(40):
         half = np.random.default_rng(seed).integers(1, 120, 31)
