@@ -30,9 +30,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     edges are fine; nodes without edges don't appear; null ends are dropped.
     """
     ends = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"), F.col(a).isNotNull().alias("x"), F.col(b).isNotNull().alias("y"))
-    ends = ends.filter("x and y").drop("x", "y")
+    ends = materialise(ends.filter("x and y").drop("x", "y").distinct(), "cc-edges")  # the pairs are made once
     loops = ends.filter("u = v").select(F.col("u").alias("id"), F.col("v").alias("label"))
-    state = materialise(ends.filter("u > v").distinct(), "cc-edges")
+    state = ends.filter("u > v")
     mark = None
     for _ in range(max_rounds):
         new = state.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.bit_xor(F.xxhash64("v", "u"))).first()

@@ -197,6 +197,19 @@ def test_components(spark):
     assert components(spark, edges) == {x: find(x) for e in edges for x in e}
 
 
+def test_components_make_the_pairs_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    edges = spark.createDataFrame([(1, 2), (2, 3), (5, 5)], "a long, b long").mapInArrow(count, "a long, b long")
+    assert {tuple(r) for r in graph.connected_components(edges).collect()} == {(1, 1), (2, 1), (3, 1), (5, 5)}
+    assert made.value == 3
+
+
 def test_greedy_merge(spark):
     assert merge.greedy_groups(list("abcdef"), lambda i, j: (i - j) % 2 == 0, 2) == [["a", "c"], ["b", "d"], ["e"], ["f"]]
     df = spark.createDataFrame([(i, i % 3) for i in range(9)], "id long, k int")
