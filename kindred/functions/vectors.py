@@ -68,9 +68,10 @@ def norm(a: Column) -> Column:
     return F.sqrt(dot(a, a))
 
 
-def cosine(a: Column, b: Column, eps: float = 0.0) -> Column:
-    """J9; null if a vector is zero (unless ``eps`` is given)."""
-    scale = norm(a) * norm(b) + F.lit(eps)
+def cosine(a: Column, b: Column, eps: float = 0.0, norms: tuple[Column, Column] | None = None) -> Column:
+    """J9; null if a vector is zero (unless ``eps`` is given).  ``norms``: both lengths, where a vector has many pairs."""
+    x, y = norms or (norm(a), norm(b))
+    scale = x * y + F.lit(eps)
     return F.when(scale > 0, dot(a, b) / scale)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 from math import comb
 
@@ -22,22 +23,40 @@ def bucket_pairs(df: DataFrame, bucket: str, node: str = "id") -> DataFrame:
     return a.join(b, (a[f"{bucket}_a"] == b[f"{bucket}_b"]) & (F.col("id_a") < F.col("id_b"))).select("id_a", "id_b")
 
 
+def _segments(bits: int, distance: int, rows: int) -> tuple[list[tuple[int, int]], int]:
+    """Segments of a word, (first bit, bit mask) from the lowest on, and how many of them must be equal."""
+
+    def cost(r: int) -> float:
+        return comb(distance + r, r) * (1 + rows / 2 ** (bits * r / (distance + r)))
+
+    r = min(range(1, max(2, min(6, bits - distance + 1))), key=cost)
+    parts = min(distance + r, bits)
+    cuts = [bits * i // parts for i in range(parts + 1)]
+    return [(lo, (1 << hi) - (1 << lo)) for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)], r
+
+
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >= 1 << 63 else mask
+
+
 def scheme(bits: int, distance: int, rows: int) -> list[int]:
     """The bit masks that make keys: of distance + r segments r must be equal (pigeonhole), whichever they are.
 
     A larger r makes longer, more selective keys but more of them: the cheapest for ``rows`` words is taken.
     All choices find the same pairs.
     """
+    segments, r = _segments(bits, distance, rows)
+    return [_signed(sum(c)) for c in combinations([m for _, m in segments], r)]
 
-    def cost(r: int) -> float:
-        return comb(distance + r, r) * (1 + rows / 2 ** (bits * r / (distance + r)))
 
-    r = min(range(1, max(2, min(6, bits - distance + 1))), key=cost)
-    parts = min(distance + r, bits)
-    cuts = [bits * i // parts for i in range(parts + 1)]
-    segments = [(1 << hi) - (1 << lo) for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)]
-    signed = lambda m: m - (1 << 64) if m >= 1 << 63 else m
-    return [signed(sum(c)) for c in combinations(segments, r)]
+def _first_key(mask: Column, differ: Column, segments: list[tuple[int, int]]) -> Column:
+    """Whether a shared key is the one of the lowest equal segments: every segment that it skips has a differing bit.
+
+    A few comparisons of numbers, as this is asked for each of the many keys that near words share.
+    """
+    none = F.lit(0).cast("long")
+    has = lambda x, m: x.bitwiseAND(F.lit(_signed(m)).cast("long")) != none
+    return reduce(Column.__and__, [has(mask, m) | (F.shiftrightunsigned(mask, lo) == none) | has(differ, m) for lo, m in segments])
 
 
 def _literal(masks: list[int]) -> Column:
@@ -66,12 +85,13 @@ def word_candidates(words: DataFrame, others: DataFrame, masks: list[int]) -> Da
 
 def near_words(words: DataFrame, distance: int, bits: int = 64, others: DataFrame | None = None) -> DataFrame:
     """(wa, wb, distance): all pairs of different words at most ``distance`` bits apart; wa < wb within one table."""
-    masks = scheme(bits, distance, max(1, words.count()))
+    rows = max(1, words.count())
+    masks = scheme(bits, distance, rows)
     found = word_candidates(words, words if others is None else others, masks).filter("wa < wb" if others is None else "wa <> wb")
     differ = F.col("wa").bitwiseXOR(F.col("wb"))
     near = found.withColumn("distance", F.bit_count(differ)).filter(F.col("distance") <= distance)
-    first = F.get(F.filter(_literal(masks), lambda m: differ.bitwiseAND(m) == 0), F.lit(0))
-    return near.filter(F.col("mask") == first).select("wa", "wb", "distance")  # of the keys they share, one counts
+    first = _first_key(F.col("mask"), differ, _segments(bits, distance, rows)[0])
+    return near.filter(first).select("wa", "wb", "distance")  # of the keys they share, one counts
 
 
 def _rows_of(near: DataFrame, df: DataFrame, word: str, node: str) -> DataFrame:
@@ -109,6 +129,6 @@ def all_pairs(df: DataFrame, node: str = "id", *keep: str) -> DataFrame:
 
 
 def with_features(pairs: DataFrame, features: DataFrame, node: str, *keep: str) -> DataFrame:
-    """The columns of both ends of each pair, with suffixes _a and _b."""
+    """The columns of both ends of each pair, with suffixes _a and _b; features grow with the data, so they aren't broadcast."""
     a, b = _sides(features, node, *keep)
-    return pairs.join(a, "id_a").join(b, "id_b")
+    return pairs.join(a.hint("merge"), "id_a").join(b.hint("merge"), "id_b")

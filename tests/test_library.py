@@ -168,6 +168,31 @@ def components(spark, edges):
     return {r["id"]: r["label"] for r in graph.connected_components(df).collect()}
 
 
+def test_features_of_pairs_are_never_broadcast(spark):
+    pairs = spark.createDataFrame([(1, 2)], "id_a long, id_b long")
+    wide = blocking.with_features(pairs, spark.range(3).withColumn("v", F.col("id") * 10), "id", "v")
+    plan = wide._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 2 and "Broadcast" not in plan
+    assert [tuple(r) for r in wide.select("id_a", "id_b", "v_a", "v_b").collect()] == [(1, 2, 10, 20)]
+
+
+@pytest.mark.parametrize(("bits", "distance", "rows"), [(64, 8, 300_000), (64, 8, 10**7), (64, 6, 1), (64, 64, 1), (16, 2, 10**4)])
+def test_of_the_shared_keys_the_first_counts(spark, bits, distance, rows):
+    rng, masks = random.Random(bits + distance + rows), blocking.scheme(bits, distance, rows)
+    differ = [0, *[sum(1 << i for i in rng.sample(range(bits), rng.randint(1, min(distance, 10)))) for _ in range(40)]]
+    signed = lambda x: x - (1 << 64) if x >= 1 << 63 else x
+    df = spark.createDataFrame([(i, signed(x), k, m) for i, x in enumerate(differ) for k, m in enumerate(masks) if not x & m], "i long, x long, k long, mask long")
+    got = df.filter(blocking._first_key(F.col("mask"), F.col("x"), blocking._segments(bits, distance, rows)[0])).select("i", "k").collect()
+    want = [(i, next(k for k, m in enumerate(masks) if not x & m)) for i, x in enumerate(differ) if any(not x & m for m in masks)]
+    assert sorted(tuple(r) for r in got) == want
+
+
+def test_shared_keys_are_compared_without_a_list_of_all_keys(spark):
+    words = spark.range(50).select(F.xxhash64("id").alias("w"))
+    plan = blocking.near_words(words, 8)._jdf.queryExecution().optimizedPlan().toString()
+    assert "filter(" not in plan and "get(" not in plan
+
+
 def test_no_table_of_keys_is_broadcast(spark):
     df = spark.range(300).select("id", F.xxhash64("id").alias("word"))
     plan = blocking.hamming_pairs(df, "word", 8)._jdf.queryExecution().executedPlan().toString()
