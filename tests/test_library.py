@@ -163,6 +163,18 @@ def test_blocking_meets_few_pairs(spark):
             assert any(not flips & m for m in masks)
 
 
+#: Queries on measured pairs: on small data every join of them could be a broadcast.
+MEASURED = ["l1_and_euclidean"]
+
+
+@pytest.mark.parametrize("name", MEASURED)
+def test_measured_pairs_are_never_broadcast(spark, sf, name):
+    import __spark_entry__ as entry
+
+    plan = entry.queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") >= 4 and "Broadcast" not in plan
+
+
 def components(spark, edges):
     df = spark.createDataFrame(edges, "a long, b long")
     return {r["id"]: r["label"] for r in graph.connected_components(df).collect()}
