@@ -164,7 +164,7 @@ def test_blocking_meets_few_pairs(spark):
 
 
 #: Queries on measured pairs: on small data every join of them could be a broadcast.
-MEASURED = ["l1_and_euclidean", "score_histogram", "threshold_curve", "or_rule_reason", "method_correlation", "other_decisions"]
+MEASURED = ["l1_and_euclidean", "score_histogram", "threshold_curve", "or_rule_reason", "method_correlation", "other_decisions", "weighted_similarity"]
 
 
 @pytest.mark.parametrize("name", MEASURED)
