@@ -53,8 +53,8 @@ STEPS, PRIOR = (0.5, 0.3, 0.2), 10.0
 LIMIT = 16.0
 #: Absolute discount of pair counts.
 DISCOUNT = 0.75
-#: Tokens in a numpy batch, and bytes of text in a chunk.
-STEP, CHUNK = 1 << 16, 8 << 20
+#: Tokens in a numpy batch (their weights stay in a core's cache), and bytes of text in a chunk.
+STEP, CHUNK = 1 << 14, 8 << 20
 #: Keys in a shard of the counts, about; parts that a gradient is cut into, and added up at once.
 SHARD, SLICES, FAN_IN = 1 << 20, 16, 64
 #: Bits of a pair's key that tell its token.
@@ -105,8 +105,12 @@ def before(tokens: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def context_rows(tokens: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Rows of the weight table for each token's context: token before, two before as a pair, one skipped."""
     one, two = before(tokens, starts)
-    mask = np.uint64(ROWS - 1)
-    return np.stack([mixed(one ^ _SEEDS[0]) & mask, mixed(two * np.uint64(3) + one ^ _SEEDS[1]) & mask, mixed(two ^ _SEEDS[2]) & mask]).astype(np.int64)
+    mask, out = np.uint64(ROWS - 1), np.empty((FEATURES, len(tokens)), np.int64)
+    for at in range(0, len(tokens), STEP):  # small arrays stay in the cache
+        a, b = one[at : at + STEP], two[at : at + STEP]
+        for f, key in enumerate((a, b * np.uint64(3) + a, b)):
+            out[f, at : at + STEP] = mixed(key ^ _SEEDS[f]) & mask
+    return out
 
 
 def pair_keys(tokens: np.ndarray, starts: np.ndarray, groups: np.ndarray) -> np.ndarray:
@@ -160,12 +164,14 @@ class Weights:
 
     def _logits(self, rows: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Class logits, group logits within the class, and the second table's rows; ``rows`` is (features, tokens)."""
-        one, two = self.small
-        first, second, within = one[ROWS] + one[rows[0]], two[ROWS + cls], self.inside(rows, cls)
-        second += two[within[0]]
+        (one, two), within, part = self.small, self.inside(rows, cls), np.empty((len(cls), CLASSES), np.float32)
+        take = lambda table, at, out=None: table.take(at, 0, out, "clip")  # noqa: E731  several times quicker than table[at]; all rows exist
+        first, second = take(one, rows[0]), take(two, ROWS + cls)
+        first += one[ROWS]
+        second += take(two, within[0], part)
         for f in range(1, FEATURES):
-            first += one[rows[f]]
-            second += two[within[f]]
+            first += take(one, rows[f], part)
+            second += take(two, within[f], part)
         return first, second, within
 
     def log_probability(self, rows: np.ndarray, groups: np.ndarray) -> np.ndarray:
@@ -179,18 +185,23 @@ class Weights:
             out -= np.log(z @ _ONES)
         return out
 
-    def sums(self, rows: np.ndarray, groups: np.ndarray, out: np.ndarray, observed: bool) -> None:
-        """Add the expected (and the observed) counts of features and classes to ``out`` (table, row, class)."""
+    def observe(self, rows: np.ndarray, groups: np.ndarray, out: np.ndarray) -> None:
+        """Add the observed counts of features and classes to ``out`` (table, row, class)."""
         cls, sub = groups // CLASSES, groups % CLASSES
-        first, second, within = self._logits(rows, cls)
-        for i, (z, cells, target) in enumerate(((first, rows, cls), (second, within, sub))):
+        for i, (cells, target) in enumerate(((rows, cls), (self.inside(rows, cls), sub))):
+            out[i] += np.bincount((cells * CLASSES + target).ravel(), minlength=ROWS * CLASSES).reshape(ROWS, CLASSES)
+
+    def expect(self, rows: np.ndarray, groups: np.ndarray, out: np.ndarray) -> None:
+        """Add the expected counts of features and classes to ``out`` (table, row, class)."""
+        first, second, within = self._logits(rows, groups // CLASSES)
+        for i, (z, cells) in enumerate(((first, rows), (second, within))):
             np.exp(z, out=z)
             z /= (z @ _ONES)[:, None]
-            flat, columns = cells.ravel(), np.ascontiguousarray(z.T, np.float64)
+            flat, column = cells.ravel(), np.empty((FEATURES, len(z)))
             for c in range(CLASSES):
-                out[i, :, c] += np.bincount(flat, np.tile(columns[c], FEATURES), ROWS)
-            if observed:
-                out[2 + i] += np.bincount((cells * CLASSES + target).ravel(), minlength=ROWS * CLASSES).reshape(ROWS, CLASSES)
+                column[0] = z[:, c]
+                column[1:] = column[0]
+                out[i, :, c] += np.bincount(flat, column.ravel(), ROWS)
 
     def step(self, expected: np.ndarray, observed: np.ndarray, size: float) -> None:
         """Move each weight by the gradient, observed less expected counts, in proportion to the expected ones."""
@@ -364,13 +375,15 @@ def _added(chunks: DataFrame, weights: Weights, groups: Groups, observed: bool)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, g = shared.value
-        out, part = np.zeros(shape), None
+        out, part = np.zeros((shape[0], CLASSES, ROWS)).transpose(0, 2, 1), None  # a class's counts lie together
         for row in _rows_of(batches):
             part, c = TaskContext.get().partitionId(), Chunk(row)
             tokens = c.distinct[c.cells]
             rows, of = context_rows(tokens, c.starts)[:, c.trained], g.of(c.distinct)[c.cells[c.trained]]
             for at in range(0, len(of), STEP):
-                w.sums(rows[:, at : at + STEP], of[at : at + STEP], out, observed)
+                w.expect(rows[:, at : at + STEP], of[at : at + STEP], out)
+            for at in range(0, len(of) if observed else 0, 8 * STEP):
+                w.observe(rows[:, at : at + 8 * STEP], of[at : at + 8 * STEP], out[2:])
         if part is not None:
             yield batch_of([(part, i, x.tobytes()) for i, x in enumerate(np.array_split(out.ravel(), SLICES))])
 

@@ -295,6 +295,25 @@ def test_model_is_a_distribution_and_learns():
     assert (op6_maxent.unpack(op6_maxent.pack(x)) == x).all() and len(op6_maxent.unpack(op6_maxent.pack(x[:0]))) == 0
 
 
+def test_sums_of_a_round_match_a_plain_loop_in_batches_that_fit_a_cache():
+    m, rng = op6_maxent, np.random.default_rng(5)
+    assert m.STEP * m.CLASSES * 8 <= 2 << 20
+    w = m.Weights(rng.integers(0, 99, m.GROUPS))
+    w.first[: m.ROWS], w.second[: m.ROWS] = rng.normal(size=(m.ROWS, 16)), rng.normal(size=(m.ROWS, 16))
+    rows, groups = rng.integers(0, 9, (m.FEATURES, 200)), rng.integers(0, m.GROUPS, 200)
+    got, want = np.zeros((4, m.CLASSES, m.ROWS)).transpose(0, 2, 1), np.zeros((4, m.ROWS, m.CLASSES))
+    w.ready().expect(rows, groups, got)
+    w.observe(rows, groups, got[2:])
+    for r, g in zip(rows.T.tolist(), groups.tolist(), strict=True):
+        inside = [(x * 17 + g // 16 * 40503) % m.ROWS for x in r]
+        for i, (cells, table, bias, target) in enumerate(((r, w.first, m.ROWS, g // 16), (inside, w.second, m.ROWS + g // 16, g % 16))):
+            z = np.exp(table[bias] + sum(table[x] for x in cells))
+            for x in cells:
+                want[i, x] += z / z.sum()
+                want[2 + i, x, target] += 1
+    assert np.allclose(got, want, rtol=1e-4, atol=1e-4) and (got[2:] == want[2:]).all()
+
+
 def plain_model(texts, held):
     """The model's log10 probability of each text, by dictionaries and one token at a time."""
     m = op6_maxent
