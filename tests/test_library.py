@@ -175,6 +175,16 @@ def test_measured_pairs_are_never_broadcast(spark, sf, name):
     assert plan.count("SortMergeJoin") >= 4 and "Broadcast" not in plan
 
 
+@pytest.mark.parametrize("name", MEASURED)
+def test_measured_pairs_are_not_broadcast_once_their_sizes_are_known(spark, sf, name):
+    import __spark_entry__ as entry
+
+    df = entry.queries()[name](spark, sf)
+    assert df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "isFinalPlan=true" in plan and "Broadcast" not in plan
+
+
 def components(spark, edges):
     df = spark.createDataFrame(edges, "a long, b long")
     return {r["id"]: r["label"] for r in graph.connected_components(df).collect()}
